@@ -6,6 +6,8 @@ import contextlib
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +71,48 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+class Forest:
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, a: int) -> int:
+        up = self.up
+        r = a
+        while (p := up.get(r, r)) != r:
+            r = p
+        while up.get(a, a) != r:
+            up[a], a = r, up[a]
+        return r
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+            self.up.setdefault(min(a, b), min(a, b))
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        e = [(a, r) for a in list(self.up) if (r := self.root(a)) != a]
+        return np.array([x[0] for x in e], np.int64), np.array([x[1] for x in e], np.int64)
+
+
+def thinned(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Edges with the same components: each task keeps a spanning forest of what it reads, of at most ``most`` nodes at a time."""
+
+    def run(batches):
+        forest = Forest()
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                forest.join(a, b)
+            if len(forest.up) >= most:
+                a, b = forest.edges()
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+                forest = Forest()
+        a, b = forest.edges()
+        yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: long); component is the smallest node.
 
@@ -79,7 +123,7 @@ def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> D
     """
     spark = edges.sparkSession
     base = workspace(spark, f"cc-{name}")
-    cur = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    cur = thinned(edges.where("a <> b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     cur = materialize(cur, f"{base}/0")
     digest = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     for i in range(1, max_rounds + 1):

@@ -12,8 +12,8 @@ three features say little; a set leaves them out where, by its count of such
 parts, a stronger one is sure to be shared, and else writes them in a
 namespace that only sets like it write.
 
-Sets that share signatures are joined into candidate groups. Within a group
-all sets are compared exactly (incidence matrix product, in blocks), and the
+Sets that share signatures are joined into candidate groups; members of large
+groups are joined anew by a finer enumeration. Within a group all sets are compared exactly (incidence matrix product, in blocks), and the
 links give the components. Nothing is capped: large groups are cut into blocks,
 all blocks first meet the same pivots, and what is not in the group's main
 component then meets all blocks.
@@ -29,6 +29,8 @@ not read; an empty table gives no rows.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,15 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.llm.bpe import rows, trim
-from wayloom.llm.common import BROADCAST_ROWS, connected_components, materialize, maybe_broadcast, read_table, remove, shuffle_partitions, workspace  # noqa: F401
+from wayloom.llm.common import Forest, connected_components, materialize, maybe_broadcast, remove, shuffle_partitions, workspace
 
 U = np.uint64
 MIX1, MIX2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 ODD = U(0x9E3779B97F4A7C15)
 #: Signatures a task packs together, and those one reducing partition should get.
 CHUNK, PER_PARTITION = 1_000_000, 3_000_000
-#: Features a signature should have, sub-parts of a part, share of parts above the least number.
-STRONG, SUBS, SLACK = 3, 3, 0.15
+#: (sub-parts of a part, d) for all sets and for the members of large groups; share of parts above the least number.
+COARSE, FINE, SLACK = (3, 1), (6, 3), 0.3
 #: Sets and features in one block of a group.
 BLOCK_SETS, BLOCK_FEATURES = 1500, 2_000_000
 WORD_CACHE = 500_000
@@ -116,61 +118,36 @@ class Bands:
         t = self.percent
         return min(2 * self.most(j) * (100 - t) // (100 + t), size * (100 - t) // t)
 
-    def parts(self, j: int) -> int:
-        t = self.percent
-        half = 2 * self.most(j) * (100 - t) // (100 + t) // 2
-        return half + 1 + int(np.ceil(SLACK * half))
+    def parts(self, j: int, d: int) -> int:
+        least = self.differ(self.most(j) * 2, j) // (d + 1)
+        return least + 1 + int(np.ceil(SLACK * least))
 
 
-def signatures(f: np.ndarray, bands: Bands) -> np.ndarray:
-    """The PartEnum signatures of a feature set, under both its schemes."""
+def signatures(f: np.ndarray, bands: Bands, scheme: tuple[int, int] = COARSE) -> np.ndarray:
+    """The PartEnum signatures of a feature set, in both its bands."""
     out = []
+    subs, d = scheme
+    choices = np.array([*combinations(range(subs), subs - d)])
     b = bands.of(len(f))
     for j in (b, b + 1):
         if bands.differ(bands.most(j), j) == 0:
             continue  # equal sets alone are similar: the class has them
-        n1 = bands.parts(j)
+        n1 = bands.parts(j, d)
         x = mix(f ^ mix(np.array([j], U) * ODD))
         part = ((x >> U(32)) * U(n1)) >> U(32)
-        cell = (part * U(SUBS) + (x & U(0xFFFFFFFF)) * U(SUBS) // U(1 << 32)).astype(np.int64)
-        total, count = np.zeros(n1 * SUBS, U), np.bincount(cell, minlength=n1 * SUBS)
+        cell = (part * U(subs) + (x & U(0xFFFFFFFF)) * U(subs) // U(1 << 32)).astype(np.int64)
+        total, count = np.zeros(n1 * subs, U), np.bincount(cell, minlength=n1 * subs)
         np.add.at(total, cell, mix(x ^ ODD))
-        total, count = total.reshape(n1, SUBS), count.reshape(n1, SUBS)
-        # all subsets of SUBS - 1 sub-parts: the whole part less one
-        sums, sizes = total.sum(1, dtype=U)[:, None] - total, count.sum(1)[:, None] - count
-        weak = sizes < STRONG
-        name = mix(sums + sizes.astype(U)) ^ mix((np.arange(n1 * SUBS, dtype=U).reshape(n1, SUBS) + U(j << 32)) * ODD)
-        keep = name[~weak]
-        if weak.any(1).sum() >= n1 - bands.differ(len(f), j) // 2:
-            keep = np.concatenate([keep, mix(name[weak] ^ MIX2)])
-        out.append(mix(keep))
+        sums = total.reshape(n1, subs)[:, choices].sum(2, dtype=U)
+        sizes = count.reshape(n1, subs)[:, choices].sum(2)
+        name = mix(sums + sizes.astype(U)) ^ mix((np.arange(sums.size, dtype=U).reshape(sums.shape) + U(j << 32)) * ODD)
+        # The most features to ask for: the parts whose smallest signature has fewer must be fewer than those that agree.
+        agree = n1 - bands.differ(len(f), j) // (d + 1)
+        ask = np.partition(sizes.min(1), agree - 1)[agree - 1]
+        out.append(mix(name[sizes >= ask]))
     return np.concatenate(out) if out else np.empty(0, U)
 
 
-class Forest:
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def root(self, a: int) -> int:
-        up = self.up
-        r = a
-        while (p := up.get(r, r)) != r:
-            r = p
-        while up.get(a, a) != r:
-            up[a], a = r, up[a]
-        return r
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-            self.up.setdefault(min(a, b), min(a, b))
-
-    def edges(self) -> tuple[np.ndarray, np.ndarray]:
-        e = [(a, r) for a in list(self.up) if (r := self.root(a)) != a]
-        return np.array([x[0] for x in e], np.int64), np.array([x[1] for x in e], np.int64)
-
-
 def shared_runs(sig: np.ndarray, member: np.ndarray, forest: Forest) -> tuple[np.ndarray, np.ndarray]:
     """Sort by signature; join members that share one; return one (signature, member) of each."""
     order = np.lexsort((member, sig))
@@ -195,6 +172,71 @@ def batch_of(**cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols else pa.nulls(size, t) for c, t in FIELDS.items()], names=[*FIELDS])
 
 
+def packs(held: dict[int, np.ndarray], parts: int):
+    """Batches for the reducers from the signatures of some classes: packs by partition, and the pairs already found."""
+    names = np.fromiter(held, np.int64, len(held))
+    sig = np.concatenate([*held.values()]) if held else np.empty(0, U)
+    member = np.repeat(names, [len(x) for x in held.values()])
+    forest = Forest()
+    sig, member = shared_runs(sig, member, forest)
+    to = (mix(sig ^ MIX1) % U(parts)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    sig, member, to = sig[order], member[order], to[order]
+    cuts = np.searchsorted(to, np.arange(parts + 1))
+    out: list[list] = [[], [], [], [], []]
+    for p in range(parts):
+        lo, hi = cuts[p], cuts[p + 1]
+        for at in range(lo, hi, 60_000):  # numbers of classes have 16 bits
+            s, m = sig[at : min(hi, at + 60_000)], member[at : min(hi, at + 60_000)]
+            known, idx = np.unique(m, return_inverse=True)
+            for c, v in zip(out, (p, (s >> U(32)).astype("<u4").tobytes(), ((s >> U(16)) & U(0xFFFF)).astype("<u2").tobytes(), idx.astype("<u2").tobytes(), known.astype("<i8").tobytes())):
+                c.append(v)
+    if out[0]:
+        yield batch_of(kind=["sig"] * len(out[0]), p=out[0], sigs=out[1], low=out[2], idx=out[3], names=out[4])
+    a, b = forest.edges()
+    if len(a):
+        yield batch_of(kind=["edge"] * len(a), p=np.arange(len(a)) % parts, h=a, g=b)
+
+
+def reduce_packs(batches):
+    """Rows of other kinds as they are; of a partition's packs, pairs that join the classes which share signatures."""
+    at, held = None, []
+
+    def finish():
+        sig = np.concatenate([(np.frombuffer(s, "<u4").astype(U) << U(16)) | np.frombuffer(w, "<u2").astype(U) for s, w, _, _ in held])
+        member = np.concatenate([np.frombuffer(names, "<i8")[np.frombuffer(i, "<u2")] for _, _, i, names in held])
+        forest = Forest()
+        shared_runs(sig, member, forest)
+        a, b = forest.edges()
+        return [batch_of(kind=["edge"] * len(a), p=np.zeros(len(a), int), h=a, g=b)] if len(a) else []
+
+    for batch in batches:
+        kinds = np.array(batch.column("kind").to_pylist())
+        rest = np.flatnonzero(kinds != "sig")
+        if len(rest):
+            yield batch.take(pa.array(rest)).select([*FIELDS])
+        for i in np.flatnonzero(kinds == "sig").tolist():
+            p = batch.column("p")[i].as_py()
+            if p != at:
+                if held:
+                    yield from finish()
+                at, held = p, []
+            held.append(tuple(batch.column(c)[i].as_py() for c in ("sigs", "low", "idx", "names")))
+    if held:
+        yield from finish()
+
+
+def found_by(emitted: DataFrame, parts: int, path: str) -> DataFrame:
+    """Reduce packs; (kind, doc_id, n, h, g) rows, written below ``path``."""
+    found = emitted.repartition(parts, "p").sortWithinPartitions("p", "kind").mapInArrow(reduce_packs, SCHEMA).select("kind", "doc_id", "n", "h", "g")
+    found.write.partitionBy("kind").parquet(path)
+    return emitted.sparkSession.read.schema("doc_id long, n long, h long, g long, kind string").parquet(path)
+
+
+def pairs_of(found: DataFrame) -> DataFrame:
+    return found.where("kind = 'edge'").select(F.col("h").alias("a"), F.col("g").alias("b"))
+
+
 def candidates(docs: DataFrame, n: int, percent: int, path: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, h) of every document, and (a, b) pairs of classes that join candidate groups.
 
@@ -212,31 +254,6 @@ def candidates(docs: DataFrame, n: int, percent: int, path: str) -> tuple[DataFr
         shingler, bands = Shingler(n), Bands(percent)
         held: dict[int, np.ndarray] = {}
         size = 0
-
-        def packs():
-            names = np.fromiter(held, np.int64, len(held))
-            sig = np.concatenate([*held.values()]) if held else np.empty(0, U)
-            member = np.repeat(names, [len(x) for x in held.values()])
-            forest = Forest()
-            sig, member = shared_runs(sig, member, forest)
-            to = (mix(sig ^ MIX1) % U(parts)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            sig, member, to = sig[order], member[order], to[order]
-            cuts = np.searchsorted(to, np.arange(parts + 1))
-            out: list[list] = [[], [], [], [], []]
-            for p in range(parts):
-                lo, hi = cuts[p], cuts[p + 1]
-                for at in range(lo, hi, 60_000):  # numbers of classes have 16 bits
-                    s, m = sig[at : min(hi, at + 60_000)], member[at : min(hi, at + 60_000)]
-                    known, idx = np.unique(m, return_inverse=True)
-                    for c, v in zip(out, (p, (s >> U(32)).astype("<u4").tobytes(), ((s >> U(16)) & U(0xFFFF)).astype("<u2").tobytes(), idx.astype("<u2").tobytes(), known.astype("<i8").tobytes())):
-                        c.append(v)
-            if out[0]:
-                yield batch_of(kind=["sig"] * len(out[0]), p=out[0], sigs=out[1], low=out[2], idx=out[3], names=out[4])
-            a, b = forest.edges()
-            if len(a):
-                yield batch_of(kind=["edge"] * len(a), p=np.arange(len(a)) % parts, h=a, g=b)
-
         for ids, texts in rows(batches, ("k", "t")):
             sizes, names = [], []
             for t in texts:
@@ -249,43 +266,44 @@ def candidates(docs: DataFrame, n: int, percent: int, path: str) -> tuple[DataFr
                     size += len(held[h])
             yield batch_of(kind=["doc"] * len(ids), p=[(i * 31 + (k or 0)) % parts for i, k in enumerate(ids)], doc_id=ids, n=sizes, h=names)
             if size >= CHUNK:
-                yield from packs()
+                yield from packs(held, parts)
                 held.clear()
                 size = 0
         if held:
-            yield from packs()
+            yield from packs(held, parts)
 
-    def reduce(batches):
-        at, held = None, []
+    back = found_by(docs.mapInArrow(emit, SCHEMA), parts, path)
+    return back.where("kind = 'doc'").select("doc_id", "n", "h"), pairs_of(back)
 
-        def finish():
-            sig = np.concatenate([(np.frombuffer(s, "<u4").astype(U) << U(16)) | np.frombuffer(w, "<u2").astype(U) for s, w, _, _ in held])
-            member = np.concatenate([np.frombuffer(names, "<i8")[np.frombuffer(i, "<u2")] for _, _, i, names in held])
-            forest = Forest()
-            shared_runs(sig, member, forest)
-            a, b = forest.edges()
-            return [batch_of(kind=["edge"] * len(a), p=np.zeros(len(a), int), h=a, g=b)] if len(a) else []
 
-        for batch in batches:
-            kinds = np.array(batch.column("kind").to_pylist())
-            rest = np.flatnonzero(kinds != "sig")
-            if len(rest):
-                yield batch.take(pa.array(rest)).select([*FIELDS])
-            for i in np.flatnonzero(kinds == "sig").tolist():
-                p = batch.column("p")[i].as_py()
-                if p != at:
-                    if held:
-                        yield from finish()
-                    at, held = p, []
-                held.append(tuple(batch.column(c)[i].as_py() for c in ("sigs", "low", "idx", "names")))
+def finer(members: DataFrame, features: int, percent: int, path: str) -> DataFrame:
+    """(a, b) pairs that join candidate groups among the members (h, f) of large groups, by the finer enumeration."""
+    parts = max(shuffle_partitions(members.sparkSession), int(4 * features / PER_PARTITION) + 1)
+
+    def emit(batches):
+        bands = Bands(percent)
+        held: dict[int, np.ndarray] = {}
+        size = 0
+        for hs, fs in rows(batches, ("h", "f")):
+            for h, f in zip(hs, fs):
+                held[h] = signatures(np.frombuffer(f, "<u8"), bands, FINE)
+                size += len(held[h])
+                if size >= CHUNK:
+                    yield from packs(held, parts)
+                    held.clear()
+                    size = 0
         if held:
-            yield from finish()
+            yield from packs(held, parts)
 
-    packed = docs.mapInArrow(emit, SCHEMA).repartition(parts, "p").sortWithinPartitions("p", "kind")
-    found = packed.mapInArrow(reduce, SCHEMA).select("kind", "doc_id", "n", "h", "g")
-    found.write.partitionBy("kind").parquet(path)
-    back = spark.read.schema("doc_id long, n long, h long, g long, kind string").parquet(path)
-    return back.where("kind = 'doc'").select("doc_id", "n", "h"), back.where("kind = 'edge'").select(F.col("h").alias("a"), F.col("g").alias("b"))
+    return pairs_of(found_by(members.select("h", "f").mapInArrow(emit, SCHEMA), parts, path))
+
+
+def in_blocks(members: DataFrame) -> DataFrame:
+    """(h, g, n) with blocks, the number of blocks of the group, and block."""
+    sizes = members.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_FEATURES)).cast("int")
+    found = members.join(sizes.select("g", blocks.alias("blocks")), "g")
+    return found.withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
 
 
 def linked(x: list[np.ndarray], y: list[np.ndarray] | None, percent: int) -> np.ndarray:
@@ -395,23 +413,25 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     classes = materialize(sets.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs"), F.max("n").alias("n")), f"{base}/classes")
 
     # Features of the candidates alone, made again from their texts.
-    wanted = classes.join(groups, "h").select("h", "rep", "g", "n")
-    sizes = wanted.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_FEATURES)).cast("int")
-    wanted = wanted.join(sizes.select("g", blocks.alias("blocks")), "g")
-    wanted = materialize(wanted.select("h", "rep", "g", "blocks", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int").alias("block")), f"{base}/wanted")
+    wanted = materialize(in_blocks(classes.join(groups, "h").select("h", "rep", "g", "n")), f"{base}/wanted")
     near = maybe_broadcast(wanted)
-    texts = src.join(near, src.k.eqNullSafe(near.rep)).select("t", "h", "g", "blocks", "block")
+    texts = src.join(near, src.k.eqNullSafe(near.rep)).select("t", "h", "g", "blocks", "block", "n")
 
     def features(batches):
         shingler = Shingler(n)
-        for ts, hs, gs, bs, b in rows(batches, ("t", "h", "g", "blocks", "block"), 64):
-            got = [(h, g, x, y, f.astype("<u8").tobytes()) for t, h, g, x, y in zip(ts, hs, gs, bs, b) if class_hash(f := shingler.features(t)) == h]
+        for ts, hs, gs, bs, b, ns in rows(batches, ("t", "h", "g", "blocks", "block", "n"), 64):
+            got = [(h, g, x, y, m, f.astype("<u8").tobytes()) for t, h, g, x, y, m in zip(ts, hs, gs, bs, b, ns) if class_hash(f := shingler.features(t)) == h]
             if got:
                 cols = list(zip(*got))
-                yield pa.RecordBatch.from_pydict({"h": pa.array(cols[0], pa.int64()), "g": pa.array(cols[1], pa.int64()), "blocks": pa.array(cols[2], pa.int32()), "block": pa.array(cols[3], pa.int32()), "f": pa.array(cols[4], pa.binary())})
-
-    have = materialize(texts.mapInArrow(features, "h long, g long, blocks int, block int, f binary"), f"{base}/features")
+                yield pa.RecordBatch.from_pydict({"h": pa.array(cols[0], pa.int64()), "g": pa.array(cols[1], pa.int64()), "blocks": pa.array(cols[2], pa.int32()), "block": pa.array(cols[3], pa.int32()), "n": pa.array(cols[4], pa.int64()), "f": pa.array(cols[5], pa.binary())})
+
+    have = materialize(texts.mapInArrow(features, "h long, g long, blocks int, block int, n long, f binary"), f"{base}/features")
+    crowd = have.where("blocks > 1")
+    if (many := crowd.agg(F.sum("n")).first()[0]) is not None:
+        again = connected_components(finer(crowd, many, percent, f"{base}/finer"), "finer").select(F.col("node").alias("h"), F.col("component").alias("g"))
+        placed = materialize(in_blocks(crowd.select("h", "n").distinct().join(again, "h")), f"{base}/placed")
+        moved = crowd.select("h", "f").join(maybe_broadcast(placed), "h").select("h", "g", "blocks", "block", "n", "f")
+        have = materialize(have.where("blocks = 1").union(moved), f"{base}/features-placed")
     name = F.concat_ws("/", "g", "block")
     members = have.select(name.alias("gid"), F.lit(0).alias("side"), "h", "f")
     large = have.where("blocks > 1")
@@ -431,7 +451,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     ids = materialize(named.join(least, "c").select("h", "component_id"), f"{base}/ids")
     out = sets.join(maybe_broadcast(ids), "h", "left")
-    remove(spark, f"{base}/features", f"{base}/groups")
+    remove(spark, f"{base}/features", f"{base}/features-placed", f"{base}/groups", f"{base}/finer")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
