@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Entries a worker remembers before it starts afresh.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 
 
 def byte_alphabet() -> list[str]:
