@@ -12,16 +12,31 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges up to which components are found by one task; they are counted first, more take distributed rounds.
+LOCAL_EDGES = 1_000_000
 #: Rows up to which a side may be broadcast; it is counted first, larger sides are shuffled.
 BROADCAST_ROWS = 300_000
 
 
+#: Bytes of one Arrow batch: what a Python worker holds of long texts at once.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches by bytes, so that rows of long texts don't fill a worker; a smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key)).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_root(spark: SparkSession) -> str:
     """The shared folder: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    bounded_batches(spark)
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
@@ -116,8 +131,9 @@ def thinned(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
 def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: long); component is the smallest node.
 
-    Alternating large-star and small-star rounds until no edge changes. Every
-    round writes its edges to the shared folder. A node with very many edges is
+    Edges are thinned to forests where they lie. At most LOCAL_EDGES of them (16
+    bytes each) go through one task; more take alternating large-star and
+    small-star rounds until no edge changes, with the same result. Every round writes its edges to the shared folder. A node with very many edges is
     never gathered: minima are aggregated before they are shuffled, and the
     joins back on the node are equi-joins that adaptive execution may split.
     """
@@ -125,6 +141,10 @@ def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> D
     base = workspace(spark, f"cc-{name}")
     cur = thinned(edges.where("a <> b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     cur = materialize(cur, f"{base}/0")
+    if cur.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:
+        found = thinned(cur.coalesce(1), LOCAL_EDGES * 4).select(F.col("a").alias("node"), F.col("b").alias("component"))
+        found = materialize(found, f"{base}/found")
+        return found.union(found.select(F.col("component").alias("node"), "component").distinct())
     digest = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     for i in range(1, max_rounds + 1):
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))

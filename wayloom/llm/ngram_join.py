@@ -44,12 +44,12 @@ U = np.uint64
 MIX1, MIX2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 ODD = U(0x9E3779B97F4A7C15)
 #: Signatures a task packs together, and those one reducing partition should get.
-CHUNK, PER_PARTITION = 1_000_000, 3_000_000
+CHUNK, PER_PARTITION = 400_000, 1_000_000
 #: (sub-parts of a part, d) for all sets and for the members of large groups; share of parts above the least number.
 COARSE, FINE, SLACK = (3, 1), (6, 3), 0.3
 #: Sets and features in one block of a group.
-BLOCK_SETS, BLOCK_FEATURES = 1500, 2_000_000
-WORD_CACHE = 500_000
+BLOCK_SETS, BLOCK_FEATURES = 1000, 1_000_000
+WORD_CACHE = 250_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -195,7 +195,7 @@ def packs(held: dict[int, np.ndarray], parts: int):
         yield batch_of(kind=["sig"] * len(out[0]), p=out[0], sigs=out[1], low=out[2], idx=out[3], names=out[4])
     a, b = forest.edges()
     if len(a):
-        yield batch_of(kind=["edge"] * len(a), p=np.arange(len(a)) % parts, h=a, g=b)
+        yield batch_of(kind=["edge"], p=[abs(int(a[0])) % parts], sigs=[a.astype("<i8").tobytes()], low=[b.astype("<i8").tobytes()])
 
 
 def reduce_packs(batches):
@@ -208,7 +208,7 @@ def reduce_packs(batches):
         forest = Forest()
         shared_runs(sig, member, forest)
         a, b = forest.edges()
-        return [batch_of(kind=["edge"] * len(a), p=np.zeros(len(a), int), h=a, g=b)] if len(a) else []
+        return [batch_of(kind=["edge"], p=[0], sigs=[a.astype("<i8").tobytes()], low=[b.astype("<i8").tobytes()])] if len(a) else []
 
     for batch in batches:
         kinds = np.array(batch.column("kind").to_pylist())
@@ -227,14 +227,29 @@ def reduce_packs(batches):
 
 
 def found_by(emitted: DataFrame, parts: int, path: str) -> DataFrame:
-    """Reduce packs; (kind, doc_id, n, h, g) rows, written below ``path``."""
-    found = emitted.repartition(parts, "p").sortWithinPartitions("p", "kind").mapInArrow(reduce_packs, SCHEMA).select("kind", "doc_id", "n", "h", "g")
-    found.write.partitionBy("kind").parquet(path)
-    return emitted.sparkSession.read.schema("doc_id long, n long, h long, g long, kind string").parquet(path)
+    """Reduce packs; rows of documents and packs of pairs, written below ``path``."""
+    found = emitted.repartition(parts, "p").sortWithinPartitions("p", "kind").mapInArrow(reduce_packs, SCHEMA)
+    found.select("kind", "doc_id", "n", "h", F.col("sigs").alias("a"), F.col("low").alias("b")).write.partitionBy("kind").parquet(path)
+    return emitted.sparkSession.read.schema("doc_id long, n long, h long, a binary, b binary, kind string").parquet(path)
 
 
 def pairs_of(found: DataFrame) -> DataFrame:
-    return found.where("kind = 'edge'").select(F.col("h").alias("a"), F.col("g").alias("b"))
+    """(a, b): of the packs of pairs that a task reads, a spanning forest."""
+
+    def run(batches):
+        forest = Forest()
+        for lefts, rights in rows(batches, ("a", "b"), 16):
+            for x, y in zip(lefts, rights):
+                for a, b in zip(np.frombuffer(x, "<i8").tolist(), np.frombuffer(y, "<i8").tolist()):
+                    forest.join(a, b)
+                if len(forest.up) >= CHUNK:
+                    a, b = forest.edges()
+                    yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+                    forest = Forest()
+        a, b = forest.edges()
+        yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+
+    return found.where("kind = 'edge'").select("a", "b").mapInArrow(run, "a long, b long")
 
 
 def candidates(docs: DataFrame, n: int, percent: int, path: str) -> tuple[DataFrame, DataFrame]:
