@@ -30,7 +30,7 @@ from wayloom.llm.common import open_input, open_output, shuffle_partitions, work
 
 MAGIC, TAIL = b"WLT1", b"WLTX"
 ENTRY = np.dtype([("null", "u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u8")])
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_500_000
 
 
 class LibraryEncoder:
