@@ -140,6 +140,19 @@ def test_token_store_short_access(spark, tok):
         next(token_store.read_shard(manifest[0]["path"], d + b"x"))
 
 
+def test_library_encoder_remembers_rightly(tok, monkeypatch):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(tok)
+    monkeypatch.setattr(token_store, "CACHE_ENTRIES", 40)
+    enc, pick = token_store.LibraryEncoder(tok), random.Random(3)
+    parts = ["word", "Don't", "''t", "b.", "c,", "İ", "Σς", "é", "12a3", "<|endoftext|>", "<|EndOfText|>", "<|", "</w>", "\t", "\x1f", "\x85", "中", "\U0001f600", "z" * 100, " ", "\n"]
+    for _ in range(40):
+        texts = ["".join(pick.choice(parts) + pick.choice([" ", "", str(pick.randrange(50))]) for _ in range(30)) for _ in range(10)]
+        assert enc.encode(texts) == [np.asarray(lib.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert all(len(p) <= token_store.CACHE_CHARS for p in enc.known)
+
+
 def test_bpe_is_the_library(tok):
     from tokenizers import Tokenizer
 

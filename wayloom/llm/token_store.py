@@ -14,13 +14,16 @@ read; an empty table gives no shards and no rows.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import struct
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,13 +33,18 @@ from wayloom.llm.common import open_input, open_output, shuffle_partitions, work
 
 MAGIC, TAIL = b"WLT1", b"WLTX"
 ENTRY = np.dtype([("null", "u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u8")])
-CACHE_ENTRIES = 1_500_000
+#: Pieces and words a worker remembers, over all its tasks; longer ones than CACHE_CHARS are not kept.
+CACHE_ENTRIES = 800_000
+CACHE_CHARS = 64
 
 
 class LibraryEncoder:
     """The tokenizers library, with the ids of each piece between blanks remembered.
 
-    Pieces not seen before are encoded many at a time, parted by a special token.
+    The pre-tokenizer's words never merge with each other, so a printable ASCII
+    piece is the concatenation of its words. Words not seen before are encoded
+    many at a time, parted by blanks: each one's ids end with its only token that
+    carries the end-of-word suffix. Other pieces are parted by a special token.
     """
 
     def __init__(self, path: str):
@@ -48,38 +56,77 @@ class LibraryEncoder:
         self.library.no_padding()
         added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.mark, self.mark_id = next(iter(sorted(added.items(), key=lambda x: -x[1])), (None, None))
-        self.wide = self.library.get_vocab_size() > 65536
-        self.dtype = np.dtype("<u4" if self.wide else "<u2")
+        size = self.library.get_vocab_size()
+        self.dtype = np.dtype("<u4" if size > 65536 else "<u2")
+        spec = json.loads(self.library.to_str())
+        suffix, steps = spec["model"].get("end_of_word_suffix"), (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        self.words = regex.compile(pattern) if suffix and (pattern := (steps[0].get("pattern") or {}).get("Regex")) else None
+        self.ends = np.zeros(1 + max(self.library.get_vocab(with_added_tokens=True).values(), default=size), bool)
+        if suffix:
+            self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> bytes:
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > CACHE_ENTRIES:
-            trim(self.known)
-        if self.mark is None:
-            self.known.update((p, self._ids(p)) for p in pieces)
-            return
-        own = [p for p in pieces if "<|" in p or self.mark in p]
-        self.known.update((p, self._ids(p)) for p in own)
-        rest = [p for p in pieces if p not in self.known] if own else pieces
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    def _encode_words(self, words: list[str], fresh: dict[str, bytes]) -> None:
+        for at in range(0, len(words), 512):
+            part = words[at : at + 512]
+            ids = self._ids(" ".join(part))
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                cuts, data = [0, *(ends * self.dtype.itemsize).tolist()], ids.tobytes()
+                fresh.update((w, data[a:b]) for w, a, b in zip(part, cuts, cuts[1:]))
+            else:
+                self._encode_marked(part, fresh)
+
+    def _encode_marked(self, pieces: list[str], fresh: dict[str, bytes]) -> None:
+        own = pieces if self.mark is None else [p for p in pieces if "<|" in p or self.mark in p]
+        fresh.update((p, self._ids(p).tobytes()) for p in own)
+        rest = [p for p in pieces if p not in fresh] if own else pieces
         for at in range(0, len(rest), 512):
             part = rest[at : at + 512]
-            ids = np.asarray(self.library.encode_batch_fast([f" {self.mark} ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            ids = self._ids(f" {self.mark} ".join(part))
             ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
             data, w, at_id = ids.tobytes(), self.dtype.itemsize, 0
             for p, end in zip(part, ends, strict=True):
-                self.known[p] = data[w * at_id : w * end]
+                fresh[p] = data[w * at_id : w * end]
                 at_id = end + 1
 
+    def _learn(self, pieces: dict[str, None]) -> dict[str, bytes]:
+        """Ids of pieces not remembered, which are remembered from now on."""
+        get, fresh = self.known.get, {}
+        of: dict[str, list[str]] = {}
+        marked = []
+        for p in pieces:
+            if self.words is not None and p.isascii() and p.isprintable() and "<|" not in p:
+                of[p] = self.words.findall(p.lower())
+            else:
+                marked.append(p)
+        if new := [w for w in {w: None for words in of.values() for w in words} if get(w) is None]:
+            self._encode_words(new, fresh)
+        if marked:
+            self._encode_marked(marked, fresh)
+        for p, words in of.items():
+            if p not in fresh:
+                fresh[p] = b"".join([fresh[w] if w in fresh else self.known[w] for w in words])
+        self.known.update((p, x) for p, x in fresh.items() if len(p) <= CACHE_CHARS)
+        return fresh
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        split = [split_pieces(t) for t in texts]
-        if new := list({p: 0 for pieces in split for p in pieces if p not in known}):
-            self._learn(new)
-        get = known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        if len(self.known) > CACHE_ENTRIES:
+            trim(self.known)
+        get = self.known.get
+        split = [(pieces, list(map(get, pieces))) for pieces in map(split_pieces, texts)]
+        new = {p: None for pieces, found in split if None in found for p, x in zip(pieces, found) if x is None}
+        fresh = self._learn(new) if new else {}
+        return [b"".join([fresh[p] if x is None else x for p, x in zip(pieces, found)] if None in found else found) for pieces, found in split]
+
+
+@lru_cache(maxsize=2)
+def load_library(path: str) -> LibraryEncoder:
+    """One encoder for all tasks of a worker."""
+    return LibraryEncoder(path)
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, eos_id: int, sample_docs: int = 2000, size: int = 65536, most_bytes: int = 8_000_000) -> bytes:
@@ -92,7 +139,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, eos_id: int, sample_d
     picked = docs.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) <= int(share * (1 << 30)))
 
     def run(batches):
-        enc = LibraryEncoder(tokenizer_path)
+        enc = load_library(tokenizer_path)
         end = np.asarray([eos_id], enc.dtype).tobytes()
         for (texts,) in rows(batches, ("t",)):
             yield pa.RecordBatch.from_pydict({"ids": pa.array([x + end for x in enc.encode([t or "" for t in texts])], pa.binary())})
@@ -126,7 +173,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, eos_id: int,
     def run(batches):
         from pyspark import TaskContext
 
-        enc = LibraryEncoder(tokenizer_path)
+        enc = load_library(tokenizer_path)
         end = np.asarray([eos_id], enc.dtype).tobytes()
         pack = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(data) if data else None)
         out, index, at, total, path = None, [], 0, 0, ""
