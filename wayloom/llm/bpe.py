@@ -30,8 +30,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from wayloom.llm.common import give_back
+
 #: Entries a worker remembers before it starts afresh.
 CACHE_ENTRIES = 200_000
+#: Entries kept between tasks: the worker may serve other operators next.
+IDLE_ENTRIES = 40_000
 
 
 def byte_alphabet() -> list[str]:
@@ -43,9 +47,9 @@ def byte_alphabet() -> list[str]:
     return [names[b] for b in range(256)]
 
 
-def trim(cache: dict) -> None:
-    """Keep the older half: frequent entries come early in a corpus."""
-    for key in list(islice(reversed(cache), len(cache) // 2)):
+def trim(cache: dict, keep: int | None = None) -> None:
+    """Keep the older half, or ``keep`` entries: frequent ones come early in a corpus."""
+    for key in list(islice(reversed(cache), max(0, len(cache) - (len(cache) // 2 if keep is None else keep)))):
         del cache[key]
 
 
@@ -219,6 +223,8 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 out["ids"] = pa.array([np.frombuffer(a, "<u4").astype(np.int32) for a, _ in both], pa.list_(pa.int32()))
                 out["decoded"] = [b.decode() for _, b in both]
             yield pa.RecordBatch.from_pydict(out)
+        for cache in (bpe.pieces, bpe.fragments):
+            trim(cache, IDLE_ENTRIES)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
-    return docs.selectExpr(f"cast(`{id_col}` as long) k", f"`{text_col}` t").mapInArrow(run, schema)
+    return docs.selectExpr(f"cast(`{id_col}` as long) k", f"`{text_col}` t").mapInArrow(give_back(run), schema)

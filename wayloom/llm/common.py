@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -34,6 +35,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back(run):
+    """``run`` for mapInArrow, after which the worker returns its free memory, as it stays for other operators' tasks."""
+
+    def then(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # the C library may lack it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return then
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder: spark.checkpoint.dir, or a local one where it is unset (tests)."""
     bounded_batches(spark)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.llm.bpe import rows
-from wayloom.llm.common import materialize, workspace
+from wayloom.llm.common import give_back, materialize, workspace
 
 WORD = re.compile(r"\w+")
 #: Words of items in one block.
@@ -129,7 +129,7 @@ def scan_block(docs: DataFrame, items: list, n: int, threshold: float, id_col: s
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(out[0], pa.int64()), "item": pa.array(out[1], pa.int32()), "seeds": pa.array(out[2], pa.list_(pa.int32())), "start_word": pa.array(out[3], pa.int32()), "words": out[4]})
 
     src = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
-    hits = materialize(src.mapInArrow(scan, "doc_id long, item int, seeds array<int>, start_word int, words string"), path)
+    hits = materialize(src.mapInArrow(give_back(scan), "doc_id long, item int, seeds array<int>, start_word int, words string"), path)
     limit = max(RARE_DOCS, int(RARE_SHARE * docs.count()))
     # At most one number per seed of the block.
     frequent = {r.s for r in hits.select(F.explode("seeds").alias("s")).groupBy("s").count().where(F.col("count") > limit).select("s").collect()}
@@ -146,4 +146,4 @@ def scan_block(docs: DataFrame, items: list, n: int, threshold: float, id_col: s
                         c.append(x)
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(out[0], pa.int64()), "item_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64()), "n_seeds": pa.array(out[3], pa.int32()), "start_word": pa.array(out[4], pa.int32())})
 
-    return hits.mapInArrow(align, "doc_id long, item_id long, score double, n_seeds int, start_word int")
+    return hits.mapInArrow(give_back(align), "doc_id long, item_id long, score double, n_seeds int, start_word int")

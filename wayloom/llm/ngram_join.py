@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.llm.bpe import rows, trim
-from wayloom.llm.common import Forest, connected_components, materialize, maybe_broadcast, remove, shuffle_partitions, workspace
+from wayloom.llm.common import Forest, connected_components, give_back, materialize, maybe_broadcast, remove, shuffle_partitions, workspace
 
 U = np.uint64
 MIX1, MIX2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -228,7 +228,7 @@ def reduce_packs(batches):
 
 def found_by(emitted: DataFrame, parts: int, path: str) -> DataFrame:
     """Reduce packs; rows of documents and packs of pairs, written below ``path``."""
-    found = emitted.repartition(parts, "p").sortWithinPartitions("p", "kind").mapInArrow(reduce_packs, SCHEMA)
+    found = emitted.repartition(parts, "p").sortWithinPartitions("p", "kind").mapInArrow(give_back(reduce_packs), SCHEMA)
     found.select("kind", "doc_id", "n", "h", F.col("sigs").alias("a"), F.col("low").alias("b")).write.partitionBy("kind").parquet(path)
     return emitted.sparkSession.read.schema("doc_id long, n long, h long, a binary, b binary, kind string").parquet(path)
 
@@ -249,7 +249,7 @@ def pairs_of(found: DataFrame) -> DataFrame:
         a, b = forest.edges()
         yield pa.RecordBatch.from_pydict({"a": a, "b": b})
 
-    return found.where("kind = 'edge'").select("a", "b").mapInArrow(run, "a long, b long")
+    return found.where("kind = 'edge'").select("a", "b").mapInArrow(give_back(run), "a long, b long")
 
 
 def candidates(docs: DataFrame, n: int, percent: int, path: str) -> tuple[DataFrame, DataFrame]:
@@ -287,7 +287,7 @@ def candidates(docs: DataFrame, n: int, percent: int, path: str) -> tuple[DataFr
         if held:
             yield from packs(held, parts)
 
-    back = found_by(docs.mapInArrow(emit, SCHEMA), parts, path)
+    back = found_by(docs.mapInArrow(give_back(emit), SCHEMA), parts, path)
     return back.where("kind = 'doc'").select("doc_id", "n", "h"), pairs_of(back)
 
 
@@ -310,7 +310,7 @@ def finer(members: DataFrame, features: int, percent: int, path: str) -> DataFra
         if held:
             yield from packs(held, parts)
 
-    return pairs_of(found_by(members.select("h", "f").mapInArrow(emit, SCHEMA), parts, path))
+    return pairs_of(found_by(members.select("h", "f").mapInArrow(give_back(emit), SCHEMA), parts, path))
 
 
 def in_blocks(members: DataFrame) -> DataFrame:
@@ -403,7 +403,7 @@ def compare_groups(members: DataFrame, percent: int) -> DataFrame:
             yield finish()
 
     n = shuffle_partitions(members.sparkSession)
-    return members.repartition(n, "gid").sortWithinPartitions("gid").mapInArrow(run, "a long, b long")
+    return members.repartition(n, "gid").sortWithinPartitions("gid").mapInArrow(give_back(run), "a long, b long")
 
 
 def _spanning(link: np.ndarray):
@@ -440,7 +440,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
                 cols = list(zip(*got))
                 yield pa.RecordBatch.from_pydict({"h": pa.array(cols[0], pa.int64()), "g": pa.array(cols[1], pa.int64()), "blocks": pa.array(cols[2], pa.int32()), "block": pa.array(cols[3], pa.int32()), "n": pa.array(cols[4], pa.int64()), "f": pa.array(cols[5], pa.binary())})
 
-    have = materialize(texts.mapInArrow(features, "h long, g long, blocks int, block int, n long, f binary"), f"{base}/features")
+    have = materialize(texts.mapInArrow(give_back(features), "h long, g long, blocks int, block int, n long, f binary"), f"{base}/features")
     crowd = have.where("blocks > 1")
     if (many := crowd.agg(F.sum("n")).first()[0]) is not None:
         again = connected_components(finer(crowd, many, percent, f"{base}/finer"), "finer").select(F.col("node").alias("h"), F.col("component").alias("g"))

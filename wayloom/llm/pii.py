@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.llm.bpe import rows
+from wayloom.llm.common import give_back
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
@@ -376,7 +377,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             )
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInArrow(give_back(run), schema)
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.llm.bpe import rows
-from wayloom.llm.common import materialize, workspace
+from wayloom.llm.common import give_back, materialize, workspace
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, id_col:
     size = {(r.half, r.y): r.n for r in texts.groupBy("half", (F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     if not all(sum(size.get((h, y), 0) for h in (0, 1)) for y in (0, 1)):
         return fixed_model()
-    total = texts.mapInArrow(counts, "w string, c0 long, c1 long, c2 long, c3 long").groupBy("w").agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(4)))
+    total = texts.mapInArrow(give_back(counts), "w string, c0 long, c1 long, c2 long, c3 long").groupBy("w").agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(4)))
     total = materialize(total.where("c0 + c1 + c2 + c3 >= 2"), workspace(spark, "toxic-words"))
 
     def mine(halves: tuple[int, ...], limit: int) -> dict[str, float]:
@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, id_col:
                 votes.append(pattern_votes(t, len(ws)))
             yield pa.RecordBatch.from_pydict({"y": pa.array([int(y > 0) for y in ys], pa.int32()), "half": pa.array(hs, pa.int32()), "f": pa.array(found, pa.list_(pa.int32())), "v": pa.array(votes, pa.list_(pa.int32()))})
 
-    got = texts.mapInArrow(features, "y int, half int, f array<int>, v array<int>").collect()
+    got = texts.mapInArrow(give_back(features), "y int, half int, f array<int>, v array<int>").collect()
     # Voters: a lexicon of a language; mined words dealt into groups by strength; patterns; the label.
     groups = [{index[w]: i % GROUPS for i, w in enumerate(sorted(x, key=lambda w, x=x: -x[w]))} for x in by_half]
     in_lexicon = {index[w]: [j for j, k in enumerate(lexicons) if w in lexicons[k]] for w in {w for x in lexicons.values() for w in x}}
@@ -213,7 +213,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             s = [model.score(words_of(t or "")) for t in ts]
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    out = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id long, score double")
+    out = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInArrow(give_back(run), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
