@@ -243,6 +243,15 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(d, b.limit(0)).count() == 0 and decontaminate.find_leaks(d.limit(0), b).count() == 0
 
 
+def test_leaks_with_frequent_seeds(spark):
+    """Copies that more than 50 documents share, and have one seed only."""
+    items = [(1, "alpha beta gamma"), (2, "a b c d"), (3, "h0 h1 h2 h3 h4 h5 h6 h7 h8 h9 h10 h11 h12 h13 h14"), (4, "p q r s t u v w")]
+    edited = "h0 h1 h2 X h3 h4 X h5 h6 X h7 h8 X h9 X h10"
+    texts = [f"u{{0}} alpha beta gamma w{{0}} u{{0}} a b c x{{0}} {'z{0} ' * 12}{edited} {'y{0} ' * 12}p q r w{{0}}".format(i) for i in range(60)]
+    got = decontaminate.find_leaks(docs(spark, list(enumerate(texts))), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.score, r.n_seeds) for r in got} == {(i, k): v for i in range(60) for k, v in ((1, (1.0, 1)), (2, (0.75, 1)), (3, (17 / 30, 1)))}
+
+
 def test_smith_waterman():
     def plain(a, b):
         h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

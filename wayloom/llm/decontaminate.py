@@ -1,13 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Every n words in a row of a test item are a seed. One scan of the corpus finds
 seeds in whole texts and gives, for each (document, item), the stretch of words
-around them. How many documents hold a seed is counted over the whole corpus;
-a stretch goes on to alignment if it holds a rare seed, or at least two
-different ones (the exact way for passages that very many documents share, all
-of whose seeds are frequent). Local alignment of the stretch with the item
-(match 2, mismatch -1, gap -1, over twice the item's length) is the score: 1 for
-a whole copy, above ``threshold`` for edited ones.
+around them. Local alignment of the stretch with the item (match 2, mismatch
+-1, gap -1, over twice the item's length) is the score: 1 for a whole copy,
+above ``threshold`` for edited ones. How many documents hold a seed doesn't
+matter. A stretch is left out only where it shares too few words with the item
+(repeats counted) for any alignment to reach the threshold.
 
 Items go to the tasks in blocks of bounded size; more items mean more scans,
 not larger blocks.
@@ -21,6 +20,7 @@ tables give no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -29,13 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.llm.bpe import rows
-from wayloom.llm.common import give_back, materialize, workspace
+from wayloom.llm.common import give_back
 
 WORD = re.compile(r"\w+")
 #: Words of items in one block.
 BLOCK_WORDS = 400_000
-#: A seed is rare in at most this many documents, or this share of them.
-RARE_DOCS, RARE_SHARE = 50, 1e-4
 
 
 def words_of(text: str | None) -> list[str]:
@@ -97,8 +95,6 @@ def stretches(ws: list[str], items, number: dict, where: list, n: int):
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, score, n_seeds, start_word of every document and item that align above the threshold."""
-    spark = docs.sparkSession
-    base = workspace(spark, "leaks")
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where("i is not null and t is not null").distinct()
     total = items.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
     blocks = max(1, -(-int(total) // BLOCK_WORDS))
@@ -106,44 +102,36 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: flo
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b) if blocks > 1 else items
         held = [(r.i, ws) for r in part.collect() if len(ws := tuple(words_of(r.t))) >= n]
-        found = scan_block(docs, held, n, threshold, id_col, text_col, f"{base}/{b}")
+        found = scan_block(docs, held, n, threshold, id_col, text_col)
         out = found if out is None else out.union(found)
     best = F.max(F.struct("score", "n_seeds", (-F.col("start_word")).alias("s"))).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.score", "b.n_seeds", (-F.col("b.s")).alias("start_word"))
 
 
-def scan_block(docs: DataFrame, items: list, n: int, threshold: float, id_col: str, text_col: str, path: str) -> DataFrame:
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((items, *seed_index(items, n)))
+def reachable(held: Counter, words: list[str]) -> int:
+    """Words of the stretch that an alignment with the item (its words counted) can match at most."""
+    there = Counter(words)
+    return sum(min(c, there[w]) for w, c in held.items() if w in there)
+
+
+def scan_block(docs: DataFrame, items: list, n: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast((items, *seed_index(items, n)))
 
     def scan(batches):
         items, number, where = shared.value
+        held = lru_cache(maxsize=20_000)(lambda i: Counter(items[i][1]))
+        score = lru_cache(maxsize=20_000)(lambda i, w: smith_waterman(items[i][1], tuple(w.split(" "))) / (2 * len(items[i][1])))
         for ids, texts in rows(batches, ("k", "t")):
             out: list[list] = [[], [], [], [], []]
             for k, t in zip(ids, texts):
                 ws = words_of(t)
                 for i, lo, hi, seeds in stretches(ws, items, number, where, n):
-                    for c, v in zip(out, (k, i, sorted(seeds), lo, " ".join(ws[lo:hi]))):
-                        c.append(v)
+                    part = ws[lo:hi]
+                    if reachable(held(i), part) / len(items[i][1]) >= threshold and (v := score(i, " ".join(part))) >= threshold:
+                        for c, x in zip(out, (k, items[i][0], v, len(seeds), lo)):
+                            c.append(x)
             if out[0]:
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(out[0], pa.int64()), "item": pa.array(out[1], pa.int32()), "seeds": pa.array(out[2], pa.list_(pa.int32())), "start_word": pa.array(out[3], pa.int32()), "words": out[4]})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(out[0], pa.int64()), "item_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64()), "n_seeds": pa.array(out[3], pa.int32()), "start_word": pa.array(out[4], pa.int32())})
 
     src = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
-    hits = materialize(src.mapInArrow(give_back(scan), "doc_id long, item int, seeds array<int>, start_word int, words string"), path)
-    limit = max(RARE_DOCS, int(RARE_SHARE * docs.count()))
-    # At most one number per seed of the block.
-    frequent = {r.s for r in hits.select(F.explode("seeds").alias("s")).groupBy("s").count().where(F.col("count") > limit).select("s").collect()}
-    common = spark.sparkContext.broadcast(frequent)
-
-    def align(batches):
-        items = shared.value[0]
-        score = lru_cache(maxsize=20_000)(lambda i, w: smith_waterman(items[i][1], tuple(w.split(" "))) / (2 * len(items[i][1])))
-        for ids, its, seeds, starts, words in rows(batches, ("doc_id", "item", "seeds", "start_word", "words")):
-            out: list[list] = [[], [], [], [], []]
-            for k, i, s, at, w in zip(ids, its, seeds, starts, words):
-                if (len(s) > 1 or s[0] not in common.value) and (v := score(i, w)) >= threshold:
-                    for c, x in zip(out, (k, items[i][0], v, len(s), at)):
-                        c.append(x)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(out[0], pa.int64()), "item_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64()), "n_seeds": pa.array(out[3], pa.int32()), "start_word": pa.array(out[4], pa.int32())})
-
-    return hits.mapInArrow(give_back(align), "doc_id long, item_id long, score double, n_seeds int, start_word int")
+    return src.mapInArrow(give_back(scan), "doc_id long, item_id long, score double, n_seeds int, start_word int")
