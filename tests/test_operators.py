@@ -109,3 +109,17 @@ def test_entry_has_rows(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_jaccard_pairs_all_reads_every_part(spark):
+    import re
+    from itertools import combinations
+
+    from conftest import DATA
+
+    from wayloom.plans import catalog
+
+    words = lambda r: {w for w in re.findall(r"[^\W_]+", f"{r.p_name} {r.p_type}".lower()) if len(w) >= 2}
+    parts = sorted((r.p_partkey, r.p_brand, words(r)) for r in spark.read.parquet(f"{DATA}/part.parquet").collect())
+    want = {(a, b): round(len(x & y) / len(x | y), 9) for (a, m, x), (b, n, y) in combinations(parts, 2) if m == n}
+    assert {(r.i, r.j): r.overlap for r in catalog.queries()["jaccard_pairs_all"](spark, DATA).collect()} == want

@@ -348,15 +348,25 @@ def segment_propagate(t: Tables) -> DataFrame:
 TOKENS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2))"
 
 
-@query(f"""WITH x AS (SELECT p_partkey AS k, p_brand AS b, {TOKENS.format("p_name || ' ' || p_type")} AS w FROM part WHERE p_size <= 5)
-SELECT i.k AS i, j.k AS j, round(len(list_intersect(i.w, j.w))::DOUBLE / len(list_distinct(list_concat(i.w, j.w))), 9) AS overlap FROM x i JOIN x j ON i.b = j.b AND i.k < j.k""")
-def jaccard_pairs(t: Tables) -> DataFrame:
-    x = t.read("part").where("p_size <= 5").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("b"), S.tokens(F.concat_ws(" ", "p_name", "p_type")).alias("w"))
+def _jaccard_pairs(parts: DataFrame) -> DataFrame:
+    x = parts.select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("b"), S.tokens(F.concat_ws(" ", "p_name", "p_type")).alias("w"))
     a, b = x.alias("a"), x.alias("b")
     j = a.join(b, (F.col("a.b") == F.col("b.b")) & (F.col("a.k") < F.col("b.k")))
     return j.select(F.col("a.k").alias("i"), F.col("b.k").alias("j"), F.round(S.jaccard(F.col("a.w"), F.col("b.w")), 9).alias("overlap"))
 
 
+@query(f"""WITH x AS (SELECT p_partkey AS k, p_brand AS b, {TOKENS.format("p_name || ' ' || p_type")} AS w FROM part WHERE p_size <= 5)
+SELECT i.k AS i, j.k AS j, round(len(list_intersect(i.w, j.w))::DOUBLE / len(list_distinct(list_concat(i.w, j.w))), 9) AS overlap FROM x i JOIN x j ON i.b = j.b AND i.k < j.k""")
+def jaccard_pairs(t: Tables) -> DataFrame:
+    return _jaccard_pairs(t.read("part").where("p_size <= 5"))
+
+
+@query(f"""WITH x AS (SELECT p_partkey AS k, p_brand AS b, {TOKENS.format("p_name || ' ' || p_type")} AS w FROM part)
+SELECT i.k AS i, j.k AS j, round(len(list_intersect(i.w, j.w))::DOUBLE / len(list_distinct(list_concat(i.w, j.w))), 9) AS overlap FROM x i JOIN x j ON i.b = j.b AND i.k < j.k""")
+def jaccard_pairs_all(t: Tables) -> DataFrame:
+    return _jaccard_pairs(t.read("part"))
+
+
 PLACES = "places AS (SELECT c_custkey AS idx, 4.0::DOUBLE + (c_custkey % 31) * 0.0011::DOUBLE AS lon, 50.0::DOUBLE + (c_custkey % 29) * 0.0007::DOUBLE AS lat, c_mktsegment AS type, 's' || (c_custkey % 3) AS source FROM customer)"
 
 
