@@ -123,3 +123,12 @@ def test_jaccard_pairs_all_reads_every_part(spark):
     parts = sorted((r.p_partkey, r.p_brand, words(r)) for r in spark.read.parquet(f"{DATA}/part.parquet").collect())
     want = {(a, b): round(len(x & y) / len(x | y), 9) for (a, m, x), (b, n, y) in combinations(parts, 2) if m == n}
     assert {(r.i, r.j): r.overlap for r in catalog.queries()["jaccard_pairs_all"](spark, DATA).collect()} == want
+
+
+def test_pairs_two_cells_apart_within_the_radius(spark):
+    t = ts("2024-01-01 10:00:00")
+    rows = [(1, 4.0005, 50.00190, "x", "a", "A1", t, 1, 1), (2, 4.0005, 50.00405, "x", "b", "A1", t, 2, 1)]
+    p = spark.createDataFrame(rows, "idx long, lon double, lat double, type string, source string, road string, ts timestamp, actor long, direction int")
+    assert [(r.i, r.j, r.reasons) for r in resolution.matches(p).collect()] == [(1, 2, [])]
+    assert [(r.i, r.j) for r in resolution.cross_source_edges(p, strict=True).collect()] == [(1, 2)]
+    assert resolution.cross_source_edges(p).isEmpty()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ def near_pairs(rows: DataFrame, radius_m: float, strict: bool = False) -> DataFr
     neighbour cells; the reach in longitude grows towards the poles. Latitude
     looks one cell up and down, or as far as the radius asks when ``strict``.
     """
-    up = max(1, int(radius_m // 222)) + 1 if strict else 1
+    up = math.ceil(radius_m / (111_194 * CELL_DEG)) if strict else 1
     reach = F.ceil(radius_m / (F.greatest(F.cos(F.radians("lat")), F.lit(0.01)) * 111_195 * CELL_DEG)).cast("int")
     home = rows.withColumns({"cx": cell(F.col("lon"), CELL_DEG), "cy": cell(F.col("lat"), CELL_DEG)})
     far = home.withColumn("cx", F.explode(F.sequence(F.col("cx") - reach, F.col("cx") + reach))).withColumn("cy", F.explode(F.sequence(F.col("cy") - up, F.col("cy") + up)))
@@ -38,9 +40,13 @@ def same_source_edges(rows: DataFrame, radius_m: float = 60.0, overlap: float =
     return j.where(ok).select("i", "j", "metres")
 
 
-def cross_source_edges(rows: DataFrame, near_m: float = 75.0, road_m: float = 250.0) -> DataFrame:
-    """Pairs of different sources: near, or farther on the same road; roads that conflict never."""
-    pairs = near_pairs(rows, road_m)
+def cross_source_edges(rows: DataFrame, near_m: float = 75.0, road_m: float = 250.0, strict: bool = False) -> DataFrame:
+    """Pairs of different sources: near, or farther on the same road; roads that conflict never.
+
+    Without ``strict`` pairs are sought in the reference's grid, which misses
+    some that are more than 222 m apart in latitude.
+    """
+    pairs = near_pairs(rows, road_m, strict)
     side = lambda n: rows.select(F.col("idx").alias(n), F.col("source").alias(f"s{n}"), F.col("road").alias(f"r{n}"))
     j = pairs.join(side("i"), "i").join(side("j"), "j").where("si <> sj")
     same, clash = F.col("ri") == F.col("rj"), F.col("ri") != F.col("rj")
@@ -107,7 +113,7 @@ def neighbourhood(rows: DataFrame, spread: int = 1, buckets: int = 1, step_deg:
 
 def matches(rows: DataFrame, radius_m: float = 250.0, seconds: int = 900) -> DataFrame:
     """(i, j, reasons): candidates near in place; reasons name what keeps them apart, empty for a match."""
-    pairs = near_pairs(rows, radius_m)
+    pairs = near_pairs(rows, radius_m, strict=True)
     s = lambda n: rows.select(F.col("idx").alias(n), F.col("ts").alias(f"t{n}"), F.col("actor").alias(f"a{n}"), F.col("direction").alias(f"d{n}"))
     j = pairs.join(s("i"), "i").join(s("j"), "j")
     why = F.array_compact(F.array(F.when(F.abs(F.unix_seconds("ti") - F.unix_seconds("tj")) > seconds, "time"), F.when(F.col("di") != F.col("dj"), "direction"), F.when(F.col("ai") == F.col("aj"), "actor")))

@@ -381,6 +381,18 @@ def dedupe_edges(t: Tables) -> DataFrame:
     return resolution.cross_source_edges(p, 60.0, 60.0).select("i", "j", F.round("metres", 3).alias("metres"))
 
 
+# Streets run north, so that pairs of one road lie one above the other.
+ROADS = f"{PLACES}, roads AS (SELECT *, CASE WHEN idx % 5 > 0 THEN 'A' || (idx % 31) END AS road FROM places)"
+
+
+@query(f"""WITH {ROADS}, j AS (SELECT a.idx AS i, b.idx AS j, {haversine('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS m, a.road AS r, b.road AS s FROM roads a JOIN roads b ON a.type = b.type AND a.idx < b.idx WHERE a.source <> b.source)
+SELECT i, j, round(m, 3) AS metres FROM j WHERE coalesce(r = s, TRUE) AND (m <= 75 OR (m <= 250 AND r = s))""")
+def dedupe_edges_roads(t: Tables) -> DataFrame:
+    k = F.col("idx")
+    p = _places(t).withColumn("road", F.when(k % 5 > 0, F.concat(F.lit("A"), (k % 31).cast("string"))))
+    return resolution.cross_source_edges(p, strict=True).select("i", "j", F.round("metres", 3).alias("metres"))
+
+
 @query()
 def dedupe_clusters(t: Tables) -> DataFrame:
     p = _places(t).withColumn("label", F.lit(None).cast("string"))
@@ -406,12 +418,22 @@ def fingerprint_neighbourhood(t: Tables) -> DataFrame:
     return resolution.neighbourhood(e).groupBy("event_id").agg(F.count_distinct("key").alias("keys"))
 
 
+def _candidates(t: Tables) -> DataFrame:
+    return _places(t).withColumns({"ts": F.timestamp_seconds(F.lit(1704067200) + (F.col("idx") * 37) % 3000), "actor": F.col("idx") % 7, "direction": F.col("idx") % 2})
+
+
 @query(f"""WITH {PLACES}, p AS (SELECT *, TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * ((idx * 37) % 3000) AS ts, idx % 7 AS actor, idx % 2 AS direction FROM places)
 SELECT a.idx AS i, b.idx AS j, concat_ws(',', CASE WHEN abs(epoch(a.ts) - epoch(b.ts)) > 900 THEN 'time' END, CASE WHEN a.direction <> b.direction THEN 'direction' END, CASE WHEN a.actor = b.actor THEN 'actor' END) AS reasons
 FROM p a JOIN p b ON a.type = b.type AND a.idx < b.idx AND {haversine('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 100""")
 def match_candidates(t: Tables) -> DataFrame:
-    p = _places(t).withColumns({"ts": F.timestamp_seconds(F.lit(1704067200) + (F.col("idx") * 37) % 3000), "actor": F.col("idx") % 7, "direction": F.col("idx") % 2})
-    return resolution.matches(p, 100.0).select("i", "j", F.array_join("reasons", ",").alias("reasons"))
+    return resolution.matches(_candidates(t), 100.0).select("i", "j", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"""WITH {PLACES}, p AS (SELECT *, TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * ((idx * 37) % 3000) AS ts, idx % 7 AS actor, idx % 2 AS direction FROM places)
+SELECT a.idx AS i, b.idx AS j, concat_ws(',', CASE WHEN abs(epoch(a.ts) - epoch(b.ts)) > 900 THEN 'time' END, CASE WHEN a.direction <> b.direction THEN 'direction' END, CASE WHEN a.actor = b.actor THEN 'actor' END) AS reasons
+FROM p a JOIN p b ON a.type = b.type AND a.idx < b.idx AND {haversine('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 250""")
+def match_candidates_250m(t: Tables) -> DataFrame:
+    return resolution.matches(_candidates(t)).select("i", "j", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("""WITH RECURSIVE l AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 16 <> 0 THEN c_custkey - 1 END AS up FROM customer),
