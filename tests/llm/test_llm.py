@@ -293,6 +293,25 @@ def test_chat(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_passages(spark):
+    """Re-wrapped quotations: between answers, of one paragraph of several, and of all of them without the blank line."""
+    two = "one two three\nfour five\n\nsix seven\neight nine ten"
+    rows = [
+        (1, 0, two),
+        (1, 1, "> one two\n> three four five\nMy answer\n> six\n> seven eight nine ten\nMore"),
+        (2, 0, two),
+        (2, 1, "> six seven eight\n> nine ten\nYes"),
+        (3, 0, two),
+        (3, 1, "> one two three four\n> five six\n> seven eight\n> nine ten\nAll of it"),
+        (4, 0, "x y\n> quoted\nz w\nv"),
+        (4, 1, "> z\n> w v\nAfter the quotation"),
+    ]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in chat.format_conversations(df).collect()}
+    assert [got[c, 1].reply_to for c in (1, 2, 3, 4)] == [0, 0, 0, 0]
+    assert [got[c, 1].n_linked for c in (1, 2, 3, 4)] == [3, 1, 1, 1]
+
+
 # 9 ---------------------------------------------------------------------------
 
 

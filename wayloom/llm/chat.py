@@ -2,7 +2,9 @@
 
 A line that starts with ``>`` signs is quoted, as deep as it has signs. Lines
 are normalised (lower case, single blanks) and hashed, and so are whole
-passages (neighbouring lines of one level). A hash leads to the latest earlier
+passages: neighbouring lines of one level, parted by blank lines and lines of
+another level, and all that a message has of its own, or quotes at one level
+without another in between, whatever parts it. A hash leads to the latest earlier
 message of the conversation whose own text holds that line or is that passage.
 A message answers the message that most of its shallowest linked quotation
 comes from (ties: the latest). Messages joined by answers form a thread, named
@@ -16,7 +18,7 @@ turns, so a very long conversation or a very common line fills several tasks.
 Cases: null text is empty; a row with null conversation or turn has no links
 (a null turn is placed first); rows that repeat conversation and turn share
 their links, each is kept; a quotation that no earlier message holds links
-nothing; lines of blanks count for nothing; further columns are not read.
+nothing; lines of blanks only part passages; further columns are not read.
 """
 
 from __future__ import annotations
@@ -37,21 +39,31 @@ def normalised(c: Column) -> Column:
 
 
 def lines_of(messages: DataFrame) -> DataFrame:
-    """(conv, turn, row, pos, level, norm) of every line that isn't blank."""
+    """(conv, turn, row, pos, level, norm) of every line; norm is empty for blank ones."""
     cut = messages.select("conv", "turn", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", r"\r?\n")).alias("pos", "line"))
     marks = F.regexp_extract("line", MARKS, 1)
     cut = cut.withColumn("level", F.length(F.regexp_replace(marks, "[^>]", "")))
-    return cut.withColumn("norm", normalised(F.expr(f"substring(line, length(regexp_extract(line, '{MARKS}', 1)) + 1)"))).where("norm <> ''").drop("line")
+    return cut.withColumn("norm", normalised(F.expr(f"substring(line, length(regexp_extract(line, '{MARKS}', 1)) + 1)"))).drop("line")
 
 
 def with_passages(lines: DataFrame) -> DataFrame:
-    """The lines, and the runs of two or more neighbouring lines of one level as one text."""
+    """The lines that aren't blank, and as one text each: the runs of two or more neighbouring lines
+    of one level, and the runs that remain when blank lines and the other kind (own or quoted) are left out."""
     message = Window.partitionBy("conv", "turn", "row").orderBy("pos")
-    runs = lines.withColumn("new", (F.coalesce(F.lag("level").over(message), F.lit(-1)) != F.col("level")).cast("int"))
-    runs = runs.withColumn("run", F.sum("new").over(message))
-    whole = runs.groupBy("conv", "turn", "row", "run", "level").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "norm"))).alias("ls"))
-    whole = whole.where("n > 1").select("conv", "turn", "level", F.array_join(F.col("ls.norm"), " ").alias("norm"))
-    return lines.select("conv", "turn", "level", "norm").union(whole)
+    kind = Window.partitionBy("conv", "turn", "row", "quoted").orderBy("pos")
+
+    def numbered_runs(df: DataFrame, name: str, window, level: Column) -> DataFrame:
+        new = (~F.lag(level).over(window).eqNullSafe(level)).cast("int")
+        return df.withColumn("new", new).withColumn(name, F.sum("new").over(window)).drop("new")
+
+    runs = numbered_runs(lines, "run", message, F.when(F.col("norm") != "", F.col("level"))).where("norm <> ''")
+    runs = numbered_runs(runs.withColumn("quoted", F.col("level") > 0), "wide", kind, F.col("level"))
+    text = F.array_join(F.array_sort(F.collect_list(F.struct("pos", "norm")))["norm"], " ").alias("norm")
+    keys = ["conv", "turn", "row", "level"]
+    near = runs.groupBy(*keys, "run").agg(F.count("*").alias("n"), text).where("n > 1")
+    wide = runs.groupBy(*keys, "wide").agg((F.min("run") < F.max("run")).alias("parted"), text).where("parted")
+    out = ["conv", "turn", "level", "norm"]
+    return runs.select(out).union(near.select(out)).union(wide.select(out))
 
 
 def latest_before(asks: DataFrame, offers: DataFrame) -> DataFrame:
@@ -73,8 +85,8 @@ def reply_links(messages: DataFrame) -> DataFrame:
     known = messages.where("conv is not null and turn is not null")
     asking = known.where(F.col("text").rlike(QUOTED))
     scope = known.join(asking.select("conv").distinct(), "conv", "left_semi")
-    quotes = with_passages(lines_of(asking).where("level > 0")).select("conv", F.md5("norm").alias("h"), "turn", "level", F.length("norm").alias("size"))
-    own = with_passages(lines_of(scope).where("level = 0")).select("conv", F.md5("norm").alias("h"), "turn")
+    quotes = with_passages(lines_of(asking)).where("level > 0").select("conv", F.md5("norm").alias("h"), "turn", "level", F.length("norm").alias("size"))
+    own = with_passages(lines_of(scope)).where("level = 0").select("conv", F.md5("norm").alias("h"), "turn")
     hits = latest_before(quotes, own)
     per = hits.groupBy("conv", "turn", "level", "src").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     best = F.max(F.struct((-F.col("level")).alias("level"), F.col("size"), F.col("src")))
