@@ -132,3 +132,18 @@ def test_pairs_two_cells_apart_within_the_radius(spark):
     assert [(r.i, r.j, r.reasons) for r in resolution.matches(p).collect()] == [(1, 2, [])]
     assert [(r.i, r.j) for r in resolution.cross_source_edges(p, strict=True).collect()] == [(1, 2)]
     assert resolution.cross_source_edges(p).isEmpty()
+
+
+def test_linkage_of_a_long_chain(spark):
+    """A component of 150 hops whose numbers go up and down: every node once, as by the greedy pass over all edges."""
+    order = [x for k in range(75) for x in (k, 149 - k)]
+    edges = sorted((min(a, b), max(a, b)) for step in (1, 2) for a, b in zip(order, order[step:]))
+    home, members = {n: n for n in order}, {n: [n] for n in order}
+    for a, b in edges:
+        x, y = sorted((home[a], home[b]))
+        if x != y and all((min(p, q), max(p, q)) in set(edges) for p in members[x] for q in members[y]):
+            members[x] += members.pop(y)
+            home |= dict.fromkeys(members[x], x)
+    e = spark.createDataFrame([(a, b, 1.0) for a, b in edges], "i long, j long, metres double")
+    got = [(r.idx, r.cluster) for r in resolution.complete_linkage(e).collect()]
+    assert sorted(got) == sorted(home.items())

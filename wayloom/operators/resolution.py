@@ -53,21 +53,22 @@ def cross_source_edges(rows: DataFrame, near_m: float = 75.0, road_m: float = 25
     return j.where(~F.coalesce(clash, F.lit(False)) & ((F.col("metres") <= near_m) | F.coalesce(same, F.lit(False)))).select("i", "j", "metres")
 
 
-def complete_linkage(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def complete_linkage(edges: DataFrame) -> DataFrame:
     """(idx, cluster) by greedy complete linkage in order of the index: two clusters merge if every cross pair is an edge.
 
-    Components of edges are found first (smallest label over joins); the greedy
+    Components of edges are found first, of any diameter (smallest label over
+    joins, each label then replaced by its own, until none moves); the greedy
     pass runs inside each, whose size the blocking bounds by density of places.
     """
     both = edges.select("i", "j").union(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
     label = both.select(F.col("i").alias("n")).distinct().withColumn("c", F.col("n"))
-    for _ in range(rounds):
+    while True:  # ends, as labels only fall
         low = both.join(label.withColumnRenamed("n", "j"), "j").groupBy("i").agg(F.min("c").alias("m"))
         new = label.join(low, label.n == low.i).select("n", "c", F.least("c", "m").alias("d")).checkpoint()
-        moved = new.where("c <> d").isEmpty()
-        label = new.select("n", F.col("d").alias("c"))
-        if moved:
+        if new.where("c <> d").isEmpty():
             break
+        label = new.join(new.select(F.col("n").alias("d"), F.col("d").alias("e")), "d").select("n", F.col("e").alias("c"))
+    label = new.select("n", "c")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         known = {(a, b) for a, b in zip(pdf.i, pdf.j)}
