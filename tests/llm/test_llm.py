@@ -208,6 +208,11 @@ def test_toxicity_held_out(spark):
     assert toxicity.toxicity(d, lab.limit(0)).count() == len(got) and toxicity.toxicity(d.limit(0), lab).count() == 0
 
 
+def test_shouting_is_judged_by_the_whole_text():
+    calm, loud = "word " * 5000, "WORD " * 5000
+    assert toxicity.pattern_votes(calm + loud * 2, 15000)[0] == 1 and toxicity.pattern_votes(loud + calm * 2, 15000)[0] == 0
+
+
 def test_label_model_finds_the_good_voter():
     rng = np.random.default_rng(5)
     y = rng.random(3000) < 0.3

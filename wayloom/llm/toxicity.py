@@ -57,8 +57,8 @@ def words_of(text: str) -> list[str]:
 
 def pattern_votes(text: str, n: int) -> list[int]:
     """Votes of the writing patterns: shouting, strings of marks, very short text."""
-    letters = sum(map(str.isalpha, text[:20000])) or 1
-    shout = sum(map(str.isupper, text[:20000])) / letters
+    letters = sum(map(str.isalpha, text)) or 1
+    shout = sum(map(str.isupper, text)) / letters
     return [1 if shout > 0.6 and n > 5 else 0, 1 if text.count("!") > 0.2 * n + 2 else 0, -1 if n < MIN_WORDS else 0]
 
 
