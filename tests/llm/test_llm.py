@@ -411,6 +411,10 @@ def test_pii_patterns():
     assert pii.base_spans("1" * 50000 + "." + "a" * 50000 + "@") == []
 
 
+def test_shape_reads_whole_tokens():
+    assert pii.shape("-" * 70 + "12") == "-92" and pii.token_features("a" * 70 + "@b1")[0] == "s=a@a91"
+
+
 def test_field_adds_spans():
     f = pii.field()
     right = total = 0

@@ -132,21 +132,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # --- the field ---------------------------------------------------------------
 
 
-@lru_cache(maxsize=100_000)
 def shape(token: str) -> str:
     """Letters as A and a, digits as 9 with the length of their run up to 5, other signs as they are; runs of letters and signs cut to one."""
     out = []
-    for m in re.finditer(r"[0-9]+|[^\W\d_]+|(.)\1*", token[:64]):
+    for m in re.finditer(r"[0-9]+|[^\W\d_]+|(.)\1*", token):
         s = m[0]
         out.append(f"9{min(len(s), 5)}" if s[0] in "0123456789" else ("A" if s[0].isupper() else "a") if s[0].isalpha() else s[0])
     return "".join(out)
 
 
-@lru_cache(maxsize=100_000)
+#: Longer tokens aren't remembered.
+short_shape = lru_cache(maxsize=100_000)(shape)
+
+
 def token_features(token: str) -> tuple[str, ...]:
+    return short_features(token) if len(token) <= 64 else features(token)
+
+
+def features(token: str) -> tuple[str, ...]:
     d = sum(c in "0123456789" for c in token)
     core = token.strip(".,;:!?\"'<>()[]*#$%&")
-    return (f"s={shape(core)}", f"d={min(d, 17)}", f"at={'@' in token}", f"plus={token[:1] == '+'}", f"paren={token[:1] == '('}", f"dots={min(core.count('.'), 4)}", f"dash={min(core.count('-'), 3)}", f"end={token[-1:] in '.,;:!?'}", f"marked={bool(MARKED.search(token))}", f"alnum={core.isalnum()}")
+    return (f"s={(short_shape if len(core) <= 64 else shape)(core)}", f"d={min(d, 17)}", f"at={'@' in token}", f"plus={token[:1] == '+'}", f"paren={token[:1] == '('}", f"dots={min(core.count('.'), 4)}", f"dash={min(core.count('-'), 3)}", f"end={token[-1:] in '.,;:!?'}", f"marked={bool(MARKED.search(token))}", f"alnum={core.isalnum()}")
+
+
+short_features = lru_cache(maxsize=100_000)(features)
 
 
 def context(tokens: list[str], i: int) -> list[str]:
