@@ -1,7 +1,7 @@
 """URL rules by a sort-merge range join.
 
-A host read from its last label to its first, each label followed by a comma,
-is a key under which a host and its subdomains form one interval. Urls and
+A host read from its last label to its first, each label followed by a slash
+(which no host holds), is a key under which a host and its subdomains form one interval. Urls and
 rules are cut into ranges of keys, each range is sorted, and one sweep over it
 keeps a stack of the rules whose interval is open; rules nest as their hosts
 do. Of the open rules whose path starts the url's path the longest wins (host
@@ -12,8 +12,9 @@ a host with very many urls is cut by a hash of the row, so it fills several rang
 
 Cases: a null url or one without ``://`` has an empty host and path, no rule,
 and the default verdict; without a fitting rule the verdict is the default,
-``allow`` (a filter drops only what a rule blocks). Rows may repeat; null
-page_ids stay; further columns are not read; an empty table gives no rows.
+``allow`` (a filter drops only what a rule blocks); of rules with equal host and
+path and different verdicts the smaller word counts (allow before block); rules
+with an empty host or a null fit nothing. Rows may repeat; null page_ids stay; further columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,10 +29,8 @@ from pyspark.sql import functions as F
 
 from wayloom.llm.common import shuffle_partitions
 
-#: After every key that continues an interval's start (keys hold no such character).
-AFTER = "\U0010ffff"
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Keys looked at for the cuts between ranges; they balance work and change no result.
+#: About so many keys are looked at for the cuts between ranges, however long the table; they balance work and change no result.
 CUT_SAMPLE = 4000
 
 
@@ -44,7 +43,7 @@ def host_path(url: Column) -> tuple[Column, Column]:
 
 
 def host_key(host: Column) -> Column:
-    return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(",")))
+    return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "/"), F.lit("/")))
 
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -59,7 +58,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_c
     urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("u")).select("page_id", host.alias("host"), path.alias("path"))
     urls = urls.withColumn("key", host_key(F.col("host"))).withColumn("tie", F.xxhash64("page_id", "path"))
     n = shuffle_partitions(spark)
-    picked = urls.select("key", "tie").orderBy(F.xxhash64("key", "tie", F.lit(7))).limit(CUT_SAMPLE).collect()
+    share = min(1.0, CUT_SAMPLE / max(1, pages.count()))
+    picked = urls.where(F.pmod(F.xxhash64("key", "tie", F.lit(7)), F.lit(1 << 40)) < int(share * (1 << 40))).select("key", "tie").limit(4 * CUT_SAMPLE).collect()
     picked = sorted((r.key, r.tie) for r in picked)
     cuts = sorted({picked[len(picked) * i // n] for i in range(1, n)}) if picked else []
 
@@ -67,10 +67,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_c
     def range_of(key: pd.Series, tie: pd.Series) -> pd.Series:
         return pd.Series(np.fromiter((bisect_right(cuts, x) for x in zip(key, tie)), np.int32, len(key)))
 
-    lowest, highest = F.lit(-(2**63)), F.lit(2**63 - 1)
+    lowest = F.lit(-(2**63))
+    end = F.expr("concat(substring(key, 1, length(key) - 1), '0')")  # the first key beyond all that start as a rule's: 0 follows the slash
     own = rules.select("verdict", F.translate("host", ASCII_UPPER, ASCII_LOWER).alias("host"), "path").where("host <> '' and verdict is not null and path is not null")
     own = own.withColumn("key", host_key(F.col("host")))
-    own = own.withColumn("p", F.explode(F.sequence(range_of("key", lowest), range_of(F.concat("key", F.lit(AFTER)), highest))))
+    own = own.withColumn("p", F.explode(F.sequence(range_of("key", lowest), range_of(end, lowest))))
     kinds = "p int, key string, kind int, page_id long, host string, path string, verdict string"
     both = own.select("p", "key", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page_id"), "host", "path", "verdict").union(
         urls.select(range_of("key", "tie").alias("p"), "key", F.lit(1), F.col("page_id").cast("long"), "host", "path", F.lit(None).cast("string"))
