@@ -4,10 +4,12 @@ An ARC file starts with a version block whose first line, a record header, has
 the scheme ``filedesc``; its second line names the version and its third the
 fields of all later header lines. Each later record is one header line and as
 many bytes as its last field declares. ``convert_arc`` gives a WARC record for
-each: identifier, ISO timestamp, type by scheme and content, block and payload digest.
+each: identifier, ISO timestamp, type by content (a block that starts as an HTTP
+message is a response, whatever the url's scheme), block and payload digest.
 
-Cases of ``archive_pages``: null html is an empty payload; a null url gets a
-``urn:wayloom:page:`` name, blanks and control characters in urls are escaped;
+Cases of ``archive_pages``: null html is an empty payload; a null or blank url
+gets a ``urn:wayloom:page:`` name, any other stays as it is, but that blanks and
+control characters, which a header line can't hold, are escaped;
 null page_ids stay null and count as smallest; rows that share payload and the
 largest page_id are all responses; further columns are not read; an empty
 table gives no archives and no rows.
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.llm.bpe import rows
-from wayloom.llm.common import materialize, open_input, open_output, workspace
+from wayloom.llm.common import materialize, maybe_broadcast, open_input, open_output, workspace
 
 # Field names of ARC header lines by version, and the profile of identical payloads.
 ARC_FIELDS = {
@@ -118,11 +120,11 @@ def convert_arc(f, record_id: Callable[[dict[str, str], int], str] | None = None
         url, mime = h["URL"], h["Content-type"]
         headers = {"WARC-Record-ID": make(h, n), "WARC-Date": iso_date(h["Archive-date"]), "WARC-Target-URI": url}
         payload = block
-        if url.startswith("filedesc:"):
+        if n == 0:
             headers |= {"WARC-Type": "warcinfo", "WARC-Filename": url.split("//", 1)[-1], "Content-Type": "application/warc-fields"}
             headers.pop("WARC-Target-URI")
             block = payload = f"software: wayloom\r\nformat: WARC File Format 1.0\r\nconverted-from: ARC {h['version']}\r\n".encode()
-        elif url.startswith(("http:", "https:")) and block.startswith(b"HTTP/"):
+        elif block.startswith(b"HTTP/"):
             payload = split_http(block)[1]
             headers |= {"WARC-Type": "response", "Content-Type": "application/http; msgtype=response"}
         elif url.startswith("dns:"):
@@ -197,14 +199,16 @@ def page_url(url: str | None, key: int | None) -> str:
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = 256 << 20) -> DataFrame:
     """Write WARC files of every page below ``folder``; the manifest (path, records) is a table there.
 
-    The largest page_id of each payload is found by an aggregation of digests;
-    payloads are shuffled once at most, and adaptive execution may split the
-    rows of a payload that very many pages share. Files are named by task and a
+    The largest page_id of each payload is found by an aggregation of digests,
+    which no payload takes part in. Payloads stay where they lie while few
+    digests repeat (counted); else they are shuffled once, and adaptive execution
+    may split the rows of a payload that very many pages share. Files are named by task and a
     random number, and only those in the manifest count, so tasks can be retried.
     """
     src = pages.select(F.col("page_id").cast("long").alias("k"), F.col("url").alias("u"), F.coalesce("html", F.lit("")).alias("h"))
     src = src.withColumn("d", F.unhex(F.sha1("h")))
     same = src.where(F.octet_length("h") >= min_bytes).groupBy("d").agg(F.max("k").alias("keep"), F.count("*").alias("n")).where("n > 1 and keep is not null").select("d", "keep")
+    same = maybe_broadcast(materialize(same, f"{folder}/repeated"))
     joined = src.join(same, "d", "left").select("k", "u", "h", "keep")
 
     def run(batches):
@@ -222,7 +226,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes
                 data = h.encode()
                 url = page_url(u, k)
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(data)}\r\n\r\n".encode()
-                arc.append((url if url.startswith(("http:", "https:")) else f"http://{url}", "text/html", head + data))
+                arc.append((url, "text/html", head + data))
             # Both versions occur, so both header forms are parsed on every run.
             legacy = io.BytesIO(write_arc(arc, 1 + part % 2))
             ids = iter([None, *ks])
