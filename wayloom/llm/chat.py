@@ -16,8 +16,9 @@ are cut into lines. The as-of search and the numbering work on stretches of
 turns, so a very long conversation or a very common line fills several tasks.
 
 Cases: null text is empty; a row with null conversation or turn has no links
-(a null turn is placed first); rows that repeat conversation and turn share
-their links, each is kept; a quotation that no earlier message holds links
+(null turns are placed first, in 1,024 shares by a hash of role and text, each
+in order of role and text); rows that repeat conversation and turn share their
+links, each is kept, and counts as once; a quotation that no earlier message holds links
 nothing; lines of blanks only part passages; further columns are not read.
 """
 
@@ -83,8 +84,9 @@ def latest_before(asks: DataFrame, offers: DataFrame) -> DataFrame:
 def reply_links(messages: DataFrame) -> DataFrame:
     """(conv, turn, reply_to, n_linked): one row per message with a linked quotation."""
     known = messages.where("conv is not null and turn is not null")
-    asking = known.where(F.col("text").rlike(QUOTED))
-    scope = known.join(asking.select("conv").distinct(), "conv", "left_semi")
+    known = known.select("conv", "turn", "text")
+    asking = known.where(F.col("text").rlike(QUOTED)).distinct()  # rows that repeat quote, and are quoted, once
+    scope = known.join(asking.select("conv").distinct(), "conv", "left_semi").distinct()
     quotes = with_passages(lines_of(asking)).where("level > 0").select("conv", F.md5("norm").alias("h"), "turn", "level", F.length("norm").alias("size"))
     own = with_passages(lines_of(scope)).where("level = 0").select("conv", F.md5("norm").alias("h"), "turn")
     hits = latest_before(quotes, own)
@@ -108,7 +110,8 @@ def thread_roots(links: DataFrame, base: str) -> DataFrame:
 
 def numbered(rows: DataFrame) -> DataFrame:
     """position: 1, 2, ... in each conv by (thread, turn, role, text); counts of stretches are added up, no window sees a whole conversation's rows."""
-    rows = rows.withColumns({"b1": F.floor(F.col("thread") / STRETCH), "b2": F.floor(F.col("turn") / STRETCH)})
+    share = F.pmod(F.xxhash64("role", "text"), F.lit(1024)) - 1024  # so that no window has all rows without a turn
+    rows = rows.withColumns({"b1": F.floor(F.col("thread") / STRETCH), "b2": F.when(F.col("turn").isNull(), share).otherwise(F.floor(F.col("turn") / STRETCH))})
     fine = Window.partitionBy("conv", "thread", "b2").orderBy("turn", "role", "text")
     rows = rows.withColumn("r0", F.row_number().over(fine))
 
