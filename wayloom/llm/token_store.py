@@ -33,6 +33,8 @@ from wayloom.llm.common import open_input, open_output, shuffle_partitions, work
 
 MAGIC, TAIL = b"WLT1", b"WLTX"
 ENTRY = np.dtype([("null", "u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u8")])
+#: Characters of text in one range of doc_ids, and bytes after which a task starts its next shard.
+RANGE_CHARS, SHARD_BYTES = 256 << 20, 256 << 20
 #: Pieces and words a worker remembers, over all its tasks; longer ones than CACHE_CHARS are not kept.
 CACHE_ENTRIES = 800_000
 CACHE_CHARS = 64
@@ -129,12 +131,11 @@ def load_library(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def train_dictionary(docs: DataFrame, tokenizer_path: str, eos_id: int, sample_docs: int = 2000, size: int = 65536, most_bytes: int = 8_000_000) -> bytes:
-    """A zstandard dictionary from the id arrays of about ``sample_docs`` documents, at most ``most_bytes`` of them.
+def train_dictionary(docs: DataFrame, n: int, tokenizer_path: str, eos_id: int, sample_docs: int = 2000, size: int = 65536, most_bytes: int = 8_000_000) -> bytes:
+    """A zstandard dictionary from the id arrays, of ``n`` documents, of about ``sample_docs`` documents, at most ``most_bytes`` of them.
 
     Documented bound: only the dictionary is learned from the sample; every document is written.
     """
-    n = docs.count()
     share = min(1.0, sample_docs / max(n, 1))
     picked = docs.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) <= int(share * (1 << 30)))
 
@@ -159,13 +160,16 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, eos_id: int, sample_d
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, eos_id: int, id_col: str = "doc_id", text_col: str = "text", level: int = 3) -> list[dict]:
     """Encode every whole text, write shards in ascending doc_id order; return the shards' manifest.
 
-    Each task writes one shard under a name of its own, so a retried task never
-    touches another's file; the manifest lists the shards of the tasks that
-    counted. It has one small row per shard, which bounds what the driver gets.
+    Ranges of doc_ids hold about RANGE_CHARS characters, so their number follows
+    the input; a task starts another shard after SHARD_BYTES, which bounds the
+    index it holds. Shards are written under names of their own, so a retried
+    task never touches another's file; the manifest lists the shards of the tasks
+    that counted. It has one small row per shard, which bounds what the driver gets.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
-    data = train_dictionary(src, tokenizer_path, eos_id)
+    n, chars = src.agg(F.count("*"), F.sum(F.length("t").cast("long"))).first()
+    data = train_dictionary(src, n, tokenizer_path, eos_id)
     digest = hashlib.sha256(data).digest()
     with open_output(f"{folder}/dictionary") as f:
         f.write(data)
@@ -176,10 +180,17 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, eos_id: int,
         enc = load_library(tokenizer_path)
         end = np.asarray([eos_id], enc.dtype).tobytes()
         pack = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(data) if data else None)
-        out, index, at, total, path = None, [], 0, 0, ""
+        out, index, at, total, path, part_no = None, [], 0, 0, "", 0
+
+        def finish():
+            whole = np.concatenate(index)
+            out.write(whole.tobytes() + struct.pack("<QQ", at, len(whole)) + TAIL)
+            out.close()
+            return pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int64()), "part": pa.array([part_no], pa.int64()), "path": [path], "docs": pa.array([len(whole)], pa.int64()), "tokens": pa.array([total], pa.int64())})
+
         for ids, texts in rows(batches, ("k", "t")):
             if out is None:
-                path = f"{folder}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
+                path = f"{folder}/shard-{TaskContext.get().partitionId():06d}-{part_no:04d}-{uuid.uuid4().hex}"
                 out = open_output(path)
                 out.write(head := MAGIC + bytes([enc.dtype.itemsize]) + digest)
                 at = len(head)
@@ -193,16 +204,17 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, eos_id: int,
                 total += n
             out.write(b"".join(frames))
             index.append(part)
+            if at >= SHARD_BYTES:
+                yield finish()
+                out, index, total, part_no = None, [], 0, part_no + 1
         if out is not None:
-            whole = np.concatenate(index)
-            out.write(whole.tobytes() + struct.pack("<QQ", at, len(whole)) + TAIL)
-            out.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int64()), "path": [path], "docs": pa.array([len(whole)], pa.int64()), "tokens": pa.array([total], pa.int64())})
+            yield finish()
 
-    ordered = src.repartitionByRange(shuffle_partitions(spark), "k", F.xxhash64("t")).sortWithinPartitions("k", F.xxhash64("t"))
-    found = ordered.mapInArrow(run, "shard long, path string, docs long, tokens long").collect()
+    ranges = max(shuffle_partitions(spark), -(-int(chars or 0) // RANGE_CHARS))
+    ordered = src.repartitionByRange(ranges, "k", F.xxhash64("t")).sortWithinPartitions("k", F.xxhash64("t"))
+    found = ordered.mapInArrow(run, "shard long, part long, path string, docs long, tokens long").collect()
     start, manifest = 0, []
-    for r in sorted(found, key=lambda r: r.shard):
+    for r in sorted(found, key=lambda r: (r.shard, r.part)):
         manifest.append(r.asDict() | {"start": start})
         start += r.tokens
     return manifest
@@ -233,24 +245,32 @@ def read_shard(path: str, dictionary: bytes):
 
 
 def read_document(path: str, dictionary: bytes, doc_id: int) -> np.ndarray | None:
-    """Ids of one document, by the shard's index."""
+    """Ids of one document (of several with this doc_id, the first): a binary search in the shard's index, then one frame."""
     with open_input(path) as f:
-        size = f.size()
-        f.seek(size - 20)
+        f.seek(0)
+        head = f.read(37)
+        if head[:4] != MAGIC or head[5:] != hashlib.sha256(dictionary).digest():
+            raise ValueError(f"{path} was written with another dictionary")
+        f.seek(f.size() - 20)
         at, n = struct.unpack("<QQ", f.read(16))
-        f.seek(at)
-        index = np.frombuffer(f.read(n * ENTRY.itemsize), ENTRY)
-        hit = np.flatnonzero((index["doc_id"] == doc_id) & (index["null"] == 0))
-        if not len(hit):
+
+        def entry(i: int):
+            f.seek(at + i * ENTRY.itemsize)
+            return np.frombuffer(f.read(ENTRY.itemsize), ENTRY)[0]
+
+        lo, hi = 0, n
+        while lo < hi:  # nulls come first, doc_ids ascend
+            mid = (lo + hi) // 2
+            e = entry(mid)
+            lo, hi = (mid + 1, hi) if e["null"] or e["doc_id"] < doc_id else (lo, mid)
+        if lo == n or (e := entry(lo))["doc_id"] != doc_id:
             return None
-        i = int(hit[0])
-        end = int(index["offset"][i + 1]) if i + 1 < n else at
-        f.seek(4)
-        dtype = np.dtype(f"<u{f.read(1)[0]}")
-        f.seek(int(index["offset"][i]))
-        data = f.read(end - int(index["offset"][i]))
+        end = int(entry(lo + 1)["offset"]) if lo + 1 < n else at
+        dtype = np.dtype(f"<u{head[4]}")
+        f.seek(int(e["offset"]))
+        data = f.read(end - int(e["offset"]))
         pack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-        return np.frombuffer(pack.decompress(data, max_output_size=int(index["n"][i]) * dtype.itemsize), dtype)
+        return np.frombuffer(pack.decompress(data, max_output_size=int(e["n"]) * dtype.itemsize), dtype)
 
 
 def read_tokens(spark: SparkSession, folder: str, manifest: list[dict], with_ids: bool = False) -> DataFrame:
