@@ -2,18 +2,20 @@
 
 Voters look at a text and say toxic, clean or nothing: lexicons of insults,
 lexicons mined from the training rows (one voter for each group of words;
-each half of the rows is judged by words mined from the other half), writing patterns, and the given label as one more voter that may err. A
-generative model, fitted by expectation maximisation, estimates how often each
-voter speaks and is right under either class, and how the voters' mistakes
-correlate; a voter's say is divided among those that repeat it. The posterior
-labels train a linear classifier over words, which scores every text.
+each half of the rows is judged by words mined from the other half), writing
+patterns, and the given label as one more voter that may err. A generative
+model, fitted by expectation maximisation, estimates how often each voter speaks
+and is right under either class, and how the votes hang together within a class
+(a mixture of kinds of rows). The posterior labels train a linear classifier
+over words, which scores every text.
 
 Learned from: at most ``sample_rows`` labelled rows (documented bound), of
 which ``train_filter`` picks the rows. Scores use the text alone.
 
 Cases: null and empty texts get the score of a text without words; without
 training rows of both classes the fixed lexicon alone decides; null labels take
-no part; repeated rows are scored each; null doc_ids stay, held_out false;
+no part; equal texts train once, with the largest of their labels; repeated rows
+are scored each; null doc_ids stay, held_out false;
 further columns are not read; an empty table gives no rows.
 """
 
@@ -42,7 +44,9 @@ LEXICONS = {
     "es": "idiota estúpido imbécil basura escoria inútil patético asqueroso mierda cabrón tonto perdedor payaso gilipollas",
 }
 #: Mined words, groups of them that vote, words a text needs to be called clean, rounds of EM and of the classifier.
-MINED, GROUPS, MIN_WORDS, EM_ROUNDS, FIT_ROUNDS = 3000, 12, 5, 60, 400
+MINED, GROUPS, MIN_WORDS, EM_ROUNDS, FIT_ROUNDS = 3000, 12, 5, 80, 400
+#: Kinds of rows within a class: what makes the voters' votes hang together.
+KINDS = 6
 #: A word is mined when it is in so many training rows, so far from chance, and mostly in toxic ones.
 MIN_COUNT, MIN_Z, MIN_SHARE = 3, 3.0, 0.5
 
@@ -75,39 +79,46 @@ class Model:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, s))))
 
 
-def label_model(votes: np.ndarray, trusted: int, trust: float = 0.95, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, trusted: int, trust: float = 0.9, weight: float = 0.05, rounds: int = EM_ROUNDS, kinds: int = KINDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of class 1, say of every voter under both classes, correlations) from votes of -1, 0, 1 (rows by voters).
 
-    ``trusted`` is the voter that names the classes (the given label): its say starts
-    at ``trust`` and has that as a prior worth half the rows.
+    A row of a class is of one of several kinds (a language, say, or one without a
+    known word). Given its kind the voters are independent, so within a class they
+    are as correlated as the kinds make them: a voter that repeats another, or falls
+    silent with it, counts once. ``trusted`` is the voter that names the classes
+    (the given label) and depends on the class alone: posteriors start from it, and
+    its say has a prior of ``trust`` worth ``weight`` of the rows; beyond that it is
+    estimated, and may be outvoted, like any other.
     """
     n, m = votes.shape
     hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
+    rest = [j for j in range(m) if j != trusted]
+    flat, label = hot[:, rest].reshape(n, -1), hot[:, trusted]
     post = np.where(votes[:, trusted] > 0, trust, 1 - trust)
-    share = np.ones(m)
-    say = np.zeros((2, m, 3))
-    corr = np.eye(m)
-    for step in range(rounds):
-        for c, p in ((0, 1 - post), (1, post)):
-            say[c] = (np.einsum("n,nmv->mv", p, hot) + 0.5) / (p.sum() + 1.5)
-            prior_say = np.array([trust, 0.001, 1 - trust] if c == 0 else [1 - trust, 0.001, trust])
-            say[c, trusted] = (say[c, trusted] + prior_say / prior_say.sum()) / 2
+    first = (flat @ np.random.default_rng(0).normal(size=(flat.shape[1], kinds))).argmax(1)  # equal votes start as one kind
+    share = np.stack([1 - post, post])[:, :, None] * (0.8 * np.eye(kinds)[first] + 0.2 / kinds)
+    sure = weight * n * np.array([[trust, 0, 1 - trust], [1 - trust, 0, trust]])
+    for _ in range(rounds):
+        size = share.sum(1)
+        kind = (size + 1) / (size.sum(1, keepdims=True) + kinds)
+        say = (np.einsum("cnk,nf->ckf", share, flat) + 0.3).reshape(2, kinds, len(rest), 3)
+        say /= say.sum(3, keepdims=True)
+        own = share.sum(2) @ label + sure + 0.5
+        own /= own.sum(1, keepdims=True)
         prior = np.clip(post.mean(), 1e-4, 1 - 1e-4)
-        if step % 10 == 5:  # what voters share beyond the class
-            values = np.array([-1.0, 0.0, 1.0])
-            expected = (1 - post)[:, None] * (say[0] @ values) + post[:, None] * (say[1] @ values)
-            rest = votes - expected
-            sd = rest.std(0) + 1e-9
-            corr = (rest.T @ rest) / n / np.outer(sd, sd)
-            share = 1 / (1 + np.clip(corr - np.eye(m), 0, 1).sum(1))
-        share[trusted] = 1.0
-        odds = math.log(prior / (1 - prior)) + np.einsum("nmv,mv,m->n", hot, np.log(say[1] / say[0]), share)
-        new = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
-        if np.abs(new - post).max() < 1e-6:
-            post = new
+        odds = np.log(kind)[:, None, :] + np.einsum("nf,ckf->cnk", flat, np.log(say).reshape(2, kinds, -1)) + (np.log(own) @ label.T)[:, :, None]
+        odds += np.log([1 - prior, prior])[:, None, None]
+        share = np.exp(odds - odds.max((0, 2))[None, :, None])
+        share /= share.sum((0, 2))[None, :, None]
+        before, post = post, share[1].sum(1)
+        if np.abs(post - before).max() < 1e-5:
             break
-        post = new
-    return post, say, corr
+    every = np.zeros((2, m, 3))
+    every[:, rest], every[:, trusted] = np.einsum("ck,ckjv->cjv", kind, say), own
+    values = np.array([-1.0, 0.0, 1.0])
+    off = votes - (1 - post)[:, None] * (every[0] @ values) - post[:, None] * (every[1] @ values)
+    sd = off.std(0) + 1e-9
+    return post, every, (off.T @ off) / n / np.outer(sd, sd)
 
 
 def fit_linear(indptr: np.ndarray, cols: np.ndarray, target: np.ndarray, width: int, l2: float = 0.02, rounds: int = FIT_ROUNDS) -> tuple[np.ndarray, float]:
@@ -138,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, id_col:
     if n == 0:
         return fixed_model()
     picked = usable.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(min(1.0, sample_rows / n) * (1 << 30)) + 1).groupBy("k").agg(F.max("y").alias("y")).limit(2 * sample_rows)
-    texts = docs.select(F.col(id_col).alias("k"), F.coalesce(text_col, F.lit("")).alias("t")).join(F.broadcast(picked), "k").dropDuplicates(["t"])
+    texts = docs.select(F.col(id_col).alias("k"), F.coalesce(text_col, F.lit("")).alias("t")).join(F.broadcast(picked), "k").groupBy("t").agg(F.max("y").alias("y"))
     texts = materialize(texts.select("t", "y", F.pmod(F.xxhash64("t"), F.lit(2)).cast("int").alias("half")), workspace(spark, "toxic-train"))
 
     def counts(batches):
@@ -217,5 +228,17 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below 0.5, all their columns. Narrow; null texts count as empty, repeated rows are judged each."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield part.filter(pa.array([model.score(words_of(t or "")) < 0.5 for t in part.column(text_col).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(give_back(run), docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> DataFrame:
     return score_documents(docs, train(docs, labels, sample_rows))
