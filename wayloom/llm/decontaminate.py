@@ -4,14 +4,16 @@ Every n words in a row of a test item are a seed. One scan of the corpus finds
 seeds in whole texts and gives, for each (document, item), the stretch of words
 around them. Local alignment of the stretch with the item (match 2, mismatch
 -1, gap -1, over twice the item's length) is the score: 1 for a whole copy,
-above ``threshold`` for edited ones. How many documents hold a seed doesn't
-matter. A stretch is left out only where it shares too few words with the item
+above ``threshold`` for edited ones, which every alignment around a shared seed
+reaches whole. No seed is too frequent to count, as rarity would lose passages
+that many documents share. A stretch is left out only where it shares too few words with the item
 (repeats counted) for any alignment to reach the threshold.
 
 Items go to the tasks in blocks of bounded size; more items mean more scans,
 not larger blocks.
 
-Cases: null texts hold nothing; items of fewer than n words are no items; of
+Cases: null texts hold nothing; very long ones are read whole; items of fewer
+than n words are no items, items of equal words are each found; of
 several stretches of one document and item the best counts, as for rows that
 repeat; null doc_ids stay in the result; further columns are not read; empty
 tables give no rows.
@@ -19,6 +21,7 @@ tables give no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from functools import lru_cache
@@ -70,8 +73,13 @@ def seed_index(items: list[tuple[int, tuple[str, ...]]], n: int) -> tuple[dict,
     return number, where
 
 
-def stretches(ws: list[str], items, number: dict, where: list, n: int):
-    """(item position, start, end, seeds) of the stretches of a text that hold seeds."""
+def stretches(ws: list[str], items, number: dict, where: list, n: int, threshold: float):
+    """(item position, start, end, seeds) of the stretches of a text that hold seeds.
+
+    An alignment that scores ``threshold`` has at most 2 * (1 - threshold) words
+    beside its matches for each word of the item, so that margin around where a
+    seed puts the item holds the whole of it.
+    """
     found: dict[int, list[tuple[int, int, int]]] = {}
     for at, gram in enumerate(zip(*(ws[i:] for i in range(n)))):
         s = number.get(gram)
@@ -80,11 +88,11 @@ def stretches(ws: list[str], items, number: dict, where: list, n: int):
                 found.setdefault(i, []).append((at, j, s))
     for i, hits in found.items():
         size = len(items[i][1])
-        margin = size // 4 + 2
+        margin = math.ceil(2 * (1 - threshold) * size)
         spans: list[list] = []
-        for at, j, s in hits:
-            lo, hi = at - j - margin, at - j + size + margin
-            if spans and lo <= spans[-1][1] and hi - spans[-1][0] <= 8 * size:
+        for lo, s in sorted((at - j - margin, s) for at, j, s in hits):
+            hi = lo + size + 2 * margin
+            if spans and lo <= spans[-1][1] and hi - spans[-1][0] <= 12 * size:
                 spans[-1][1] = max(hi, spans[-1][1])
                 spans[-1][2].add(s)
             else:
@@ -125,7 +133,7 @@ def scan_block(docs: DataFrame, items: list, n: int, threshold: float, id_col: s
             out: list[list] = [[], [], [], [], []]
             for k, t in zip(ids, texts):
                 ws = words_of(t)
-                for i, lo, hi, seeds in stretches(ws, items, number, where, n):
+                for i, lo, hi, seeds in stretches(ws, items, number, where, n, threshold):
                     part = ws[lo:hi]
                     if reachable(held(i), part) / len(items[i][1]) >= threshold and (v := score(i, " ".join(part))) >= threshold:
                         for c, x in zip(out, (k, items[i][0], v, len(seeds), lo)):
