@@ -1,19 +1,20 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field that adds spans.
 
-The field runs over tokens between blanks. Its features are word shapes (runs of
-letters, digits and marks) of a token and its neighbours; its weights come from
-the small labelled table below by maximum likelihood; Viterbi decodes batches
-of sequences of like length in numpy. Spans it finds that touch no pattern's span
-and pass the kind's check are added; the patterns' spans stay.
-
-Every kind's check asks for a digit or an at sign, so the field's sequences are
-the stretches of a whole text around tokens that hold one, with four tokens of
-context on either side; stretches that meet are one sequence.
+The field runs over all tokens between blanks of a whole text, one sequence.
+Its features are word shapes (runs of letters, digits and marks) of a token and
+its neighbours; its weights come from the small labelled table below by maximum
+likelihood, once, on the driver. Tokens with the same known features are one
+class, and a class has one row of weights as itself and as a neighbour, so a
+batch of sequences is three look-ups; Viterbi then decodes the batch in numpy,
+position by position, over the sequences that reach it. Spans the field finds
+that touch no pattern's span and pass the kind's check are added; the patterns'
+spans stay.
 
 Cases: null text is empty; empty text has no spans, base_sha256 that of the
 empty string and empty ``spans``; long runs of digits or letters take linear
-time; repeated rows are each judged; null doc_ids stay; further columns are
-not read; an empty table gives no rows.
+time, very long texts about 200 bytes a token besides the text; repeated rows are
+each judged; null doc_ids stay; further columns are not read; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -27,9 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.llm.bpe import rows
+from wayloom.llm.bpe import rows, trim
 from wayloom.llm.common import give_back
 
+#: Characters of texts decoded together; tokens whose class is remembered, and their longest.
+BATCH_CHARS, KNOWN_TOKENS, KNOWN_CHARS = 1 << 20, 60_000, 48
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 
@@ -96,6 +100,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def at_most_255(digits: str) -> bool:
+    d = digits.lstrip("0")
+    return len(d) < 4 and int(d or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind number) of the fixed patterns, by start, then kind."""
     out = []
@@ -117,7 +126,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
                 parts = [*re.finditer("[0-9]+", m[0])] if m[0].count(".") > 2 else []
                 for i in range(0, len(parts) - 3, 4):
                     four = parts[i : i + 4]
-                    if all(len(x[0].lstrip("0")) < 4 and int(x[0]) <= 255 for x in four):
+                    if all(at_most_255(x[0]) for x in four):
                         out.append((m.start() + four[0].start(), m.start() + four[3].end(), 1))
         for m in CARD.finditer(text):
             if 14 <= len(m[0]) and 14 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and luhn(d):
@@ -141,27 +150,16 @@ def shape(token: str) -> str:
     return "".join(out)
 
 
-#: Longer tokens aren't remembered.
-short_shape = lru_cache(maxsize=100_000)(shape)
-
-
-def token_features(token: str) -> tuple[str, ...]:
-    return short_features(token) if len(token) <= 64 else features(token)
-
-
 def features(token: str) -> tuple[str, ...]:
     d = sum(c in "0123456789" for c in token)
     core = token.strip(".,;:!?\"'<>()[]*#$%&")
-    return (f"s={(short_shape if len(core) <= 64 else shape)(core)}", f"d={min(d, 17)}", f"at={'@' in token}", f"plus={token[:1] == '+'}", f"paren={token[:1] == '('}", f"dots={min(core.count('.'), 4)}", f"dash={min(core.count('-'), 3)}", f"end={token[-1:] in '.,;:!?'}", f"marked={bool(MARKED.search(token))}", f"alnum={core.isalnum()}")
-
-
-short_features = lru_cache(maxsize=100_000)(features)
+    return (f"s={shape(core)}", f"d={min(d, 17)}", f"at={'@' in token}", f"plus={token[:1] == '+'}", f"paren={token[:1] == '('}", f"dots={min(core.count('.'), 4)}", f"dash={min(core.count('-'), 3)}", f"end={token[-1:] in '.,;:!?'}", f"marked={bool(MARKED.search(token))}", f"alnum={core.isalnum()}")
 
 
 def context(tokens: list[str], i: int) -> list[str]:
     before = tokens[i - 1] if i else ""
     after = tokens[i + 1] if i + 1 < len(tokens) else ""
-    return [*token_features(tokens[i]), *(f"-1 {f}" for f in token_features(before)[:5]), *(f"+1 {f}" for f in token_features(after)[:5])]
+    return [*features(tokens[i]), *(f"-1 {f}" for f in features(before)[:5]), *(f"+1 {f}" for f in features(after)[:5])]
 
 
 def tokens_of(text: str) -> list[tuple[int, int]]:
@@ -236,35 +234,89 @@ class Field:
         self.w, self.first = w, np.where(first, -1e4, 0.0)
         self.trans = np.where(self.barred, -1e4, t)
 
-    def emission(self, tokens: list[str]) -> np.ndarray:
-        get = self.index.get
-        out = np.zeros((len(tokens), len(LABELS)))
-        for i in range(len(tokens)):
-            out[i] = self.w[[j for f in context(tokens, i) if (j := get(f)) is not None]].sum(0)
-        return out
-
-    def viterbi(self, sequences: list[list[str]]) -> list[list[int]]:
-        """Best labels of every sequence; sequences of like length are decoded together."""
-        out: list[list[int]] = [[] for _ in sequences]
-        order = sorted((i for i in range(len(sequences)) if sequences[i]), key=lambda i: len(sequences[i]))
-        for at in range(0, len(order), 128):
-            part = order[at : at + 128]
-            width = len(sequences[part[-1]])
-            e = np.zeros((len(part), width, len(LABELS)))
-            size = np.array([len(sequences[i]) for i in part])
-            for s, i in enumerate(part):
-                e[s, : size[s]] = self.emission(sequences[i])
-            score, back = e[:, 0] + self.first, np.zeros((len(part), width, len(LABELS)), np.int8)
-            for i in range(1, width):
-                z = score[:, :, None] + self.trans
-                back[:, i] = z.argmax(1)
-                score = np.where((i < size)[:, None], e[:, i] + z.max(1), score)
-            last = score.argmax(1)
-            for s, i in enumerate(part):
-                path = [int(last[s])]
-                for j in range(size[s] - 1, 0, -1):
-                    path.append(int(back[s, j, path[-1]]))
-                out[i] = path[::-1]
+        # Tokens with the same known features are one class; its rows: weights as itself, before the next token, after the one before.
+        self.number: dict[tuple, int] = {}
+        self.rows = np.zeros((3, 0, n), np.float32)
+        self.known: dict[str, int] = {}
+        self.none = self.classify("")
+
+    def classify(self, token: str) -> int:
+        """The class of a token."""
+        own = features(token)
+        names = (own, [f"-1 {f}" for f in own[:5]], [f"+1 {f}" for f in own[:5]])
+        key = tuple(tuple(self.index[f] for f in part if f in self.index) for part in names)
+        c = self.number.get(key)
+        if c is None:
+            c = self.number[key] = len(self.number)
+            if c >= self.rows.shape[1]:
+                self.rows = np.concatenate([self.rows, np.zeros((3, max(64, c), len(LABELS)), np.float32)], axis=1)
+            for r, ids in zip(self.rows, key):
+                r[c] = self.w[list(ids)].sum(0)
+        if len(token) <= KNOWN_CHARS:
+            if len(self.known) >= KNOWN_TOKENS:
+                trim(self.known)
+            self.known[token] = c
+        return c
+
+    def classes(self, tokens: list[str]) -> np.ndarray:
+        """Classes of a sequence. Words of letters alone, also before a full stop or the like, have four classes and aren't looked up."""
+        known, out = self.known, []
+        low, high, low_end, high_end = (self.classify(t) for t in ("a", "A", "a.", "A."))
+        for t in tokens:
+            if t.isalpha():
+                out.append(high if t[0].isupper() else low)
+            elif t[-1] in ".,;:!?" and t[:-1].isalpha():
+                out.append(high_end if t[0].isupper() else low_end)
+            else:
+                out.append(known[t] if t in known else self.classify(t))
+        return np.array(out, np.int32)
+
+    def viterbi(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
+        """Best labels of every sequence of classes. Entries are laid out by position, longer sequences first, so a step reads one slice."""
+        order = sorted((i for i in range(len(sequences)) if len(sequences[i])), key=lambda i: -len(sequences[i]))
+        out = [np.empty(0, np.int8) for _ in sequences]
+        if not order:
+            return out
+        size = np.array([len(sequences[i]) for i in order])
+        width, total = int(size[0]), int(size.sum())
+        reach = np.searchsorted(-size, -np.arange(width), side="left")  # sequences longer than each position
+        at = np.concatenate([[0], np.cumsum(reach)])
+        start = np.concatenate([[0], np.cumsum(size)[:-1]])
+        c = np.concatenate([sequences[i] for i in order])
+        e = self.rows[0][c]
+        first, last = np.zeros(total, bool), np.zeros(total, bool)
+        first[start], last[start + size - 1] = True, True
+        e += self.rows[1][np.where(first, self.none, np.roll(c, 1))]
+        e += self.rows[2][np.where(last, self.none, np.roll(c, -1))]
+        place = at[np.arange(total) - np.repeat(start, size)] + np.repeat(np.arange(len(order)), size)
+        by_place = np.empty_like(e)
+        by_place[place] = e
+        del e, c
+        back = np.zeros((total, len(LABELS)), np.int8)
+        ends, best = np.empty((len(order), len(LABELS))), np.empty((len(order), len(LABELS)), np.intp)
+        score = by_place[: reach[0]] + self.first
+        reach_, at_, into = reach.tolist(), at.tolist(), np.ascontiguousarray(self.trans.T)
+        for i in range(1, width):
+            n, lo, hi = reach_[i], at_[i], at_[i + 1]
+            if n < len(score):
+                ends[n : len(score)] = score[n:]
+                score = score[:n]
+            z = score[:, None, :] + into
+            z.argmax(2, out=best[:n])
+            back[lo:hi] = best[:n]
+            score = z.max(2)
+            score += by_place[lo:hi]
+        ends[: len(score)] = score
+        label = np.empty(total, np.int8)
+        now = ends.argmax(1)
+        flat, column = back.reshape(-1), np.arange(total) * len(LABELS)
+        for i in range(width - 1, -1, -1):
+            n, lo, hi = reach_[i], at_[i], at_[i + 1]
+            label[lo:hi] = now[:n]
+            now[:n] = flat[column[lo:hi] + now[:n]]
+        path = label[place]
+        for r, i in enumerate(order):
+            out[i] = path[start[r] : start[r] + size[r]]
         return out
 
 
@@ -278,51 +330,6 @@ def field() -> Field:
     return Field()
 
 
-def windows(text: str, context_tokens: int = 4) -> list[list[tuple[int, int]]]:
-    """Token spans of the stretches around marked tokens, each with so many tokens on either side."""
-    out: list[list[tuple[int, int]]] = []
-    end = -1
-    for m in MARKED.finditer(text):
-        if m.start() < end:
-            continue
-        lo = m.start()
-        while lo > 0 and not text[lo - 1].isspace():
-            lo -= 1
-        hi = m.end()
-        while hi < len(text) and not text[hi].isspace():
-            hi += 1
-        end = hi
-        left, right, toks = lo, hi, [(lo, hi)]
-        for _ in range(context_tokens):
-            a = left
-            while a > 0 and text[a - 1].isspace():
-                a -= 1
-            b = a
-            while b > 0 and not text[b - 1].isspace():
-                b -= 1
-            if a == b:
-                break
-            toks.insert(0, (b, a))
-            left = b
-        for _ in range(context_tokens):
-            a = right
-            while a < len(text) and text[a].isspace():
-                a += 1
-            b = a
-            while b < len(text) and not text[b].isspace():
-                b += 1
-            if a == b:
-                break
-            toks.append((a, b))
-            right = b
-        if out and toks[0][0] <= out[-1][-1][1]:
-            known = out[-1][-1][1]
-            out[-1] += [t for t in toks if t[0] >= known]
-        else:
-            out.append(toks)
-    return out
-
-
 def valid(kind: str, s: str) -> bool:
     digits = re.sub("[^0-9]", "", s)
     if kind == "email":
@@ -335,34 +342,41 @@ def valid(kind: str, s: str) -> bool:
     return 7 <= len(digits) <= 15 and not re.search("[^0-9 ()+./-]", s) and bool(re.search("[ ()/.-]", s))
 
 
-def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
-    """Spans the field adds to each text."""
-    f = field()
-    owner, spans, sequences = [], [], []
-    for i, t in enumerate(texts):
-        for toks in windows(t):
-            owner.append(i)
-            spans.append(toks)
-            sequences.append([t[a:b] for a, b in toks])
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for i, toks, path in zip(owner, spans, f.viterbi(sequences)):
-        at = 0
-        while at < len(path):
-            tag = LABELS[path[at]]
-            if tag[0] != "B":
-                at += 1
-                continue
-            end = at + 1
-            while end < len(path) and LABELS[path[end]] == f"I-{tag[2:]}":
-                end += 1
-            lo, hi = toks[at][0], toks[end - 1][1]
-            s = texts[i][lo:hi]
-            lead = len(s) - len(s.lstrip("<\"'[,;:*#$%&!?."))
-            s = s[lead:].rstrip(">\"'],;:!?.*#$%&")
-            lo, hi = lo + lead, lo + lead + len(s)
-            at = end
-            if s and valid(tag[2:], s) and not any(lo < b and hi > a for a, b, _ in base[i]):
-                out[i].append((lo, hi, KINDS.index(tag[2:])))
+def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], f: Field | None = None) -> list[list[tuple[int, int, int]]]:
+    """Spans the field adds to each text; texts are decoded together up to BATCH_CHARS."""
+    f = f or field()
+    out: list[list[tuple[int, int, int]]] = []
+    at = 0
+    while at < len(texts):
+        end, chars = at + 1, len(texts[at])
+        while end < len(texts) and chars + len(texts[end]) <= BATCH_CHARS:
+            chars += len(texts[end])
+            end += 1
+        paths = f.viterbi([f.classes(t.split()) for t in texts[at:end]])
+        out += [spans_of(t, p, b) if p.any() else [] for t, p, b in zip(texts[at:end], paths, base[at:end])]
+        at = end
+    return out
+
+
+def spans_of(text: str, path: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The labelled spans of a text that pass their kind's check and touch no span of ``base``."""
+    toks, out, at, names = tokens_of(text), [], 0, [LABELS[p] for p in path.tolist()]
+    while at < len(names):
+        tag = names[at]
+        if tag[0] != "B":
+            at += 1
+            continue
+        end = at + 1
+        while end < len(names) and names[end] == f"I-{tag[2:]}":
+            end += 1
+        lo, hi = toks[at][0], toks[end - 1][1]
+        s = text[lo:hi]
+        lead = len(s) - len(s.lstrip("<\"'[,;:*#$%&!?."))
+        s = s[lead:].rstrip(">\"'],;:!?.*#$%&")
+        lo, hi = lo + lead, lo + lead + len(s)
+        at = end
+        if s and valid(tag[2:], s) and not any(lo < b and hi > a for a, b, _ in base):
+            out.append((lo, hi, KINDS.index(tag[2:])))
     return out
 
 
@@ -370,14 +384,37 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], s[2])))
 
 
+def mask_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """All columns of ``docs``, each span in the text replaced by its kind, and the length in ``chars_col`` (if there) following the text. Narrow.
+
+    Null texts stay null; repeated rows, null ids and further columns stay as they are; an empty table gives no rows.
+    """
+    f = field()
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = mask_texts(part.column(text_col).to_pylist(), f)
+                part = part.set_column(part.schema.get_field_index(text_col), part.schema.field(text_col), pa.array(texts, part.schema.field(text_col).type))
+                if chars_col in part.schema.names:
+                    i = part.schema.get_field_index(chars_col)
+                    part = part.set_column(i, part.schema.field(i), pa.array([None if t is None else len(t) for t in texts]).cast(part.schema.field(i).type))
+                yield part
+
+    return docs.mapInArrow(give_back(run), docs.schema)
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (of the patterns), base_sha256, spans, n_added. Narrow."""
 
+    f = field()
+
     def run(batches):
         for ids, texts in rows(batches, ("k", "t")):
             texts = [t or "" for t in texts]
             base = [base_spans(t) for t in texts]
-            more = added_spans(texts, base)
+            more = added_spans(texts, base, f)
             count = [[sum(k == i for *_, k in b) for b in base] for i in range(len(KINDS))]
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": pa.array(ids, pa.int64())}
@@ -404,8 +441,8 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def mask_texts(texts: list[str | None]) -> list[str | None]:
+def mask_texts(texts: list[str | None], f: Field | None = None) -> list[str | None]:
     own = [t or "" for t in texts]
     base = [base_spans(t) for t in own]
-    more = added_spans(own, base)
+    more = added_spans(own, base, f)
     return [None if t is None else masked(t, [*b, *m]) if b or m else t for t, b, m in zip(texts, base, more)]
