@@ -48,20 +48,36 @@ def give_back(run):
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The shared folder, spark.checkpoint.dir. Unset, a local master gets a folder of its own (all its tasks are in this process), a cluster an error."""
     bounded_batches(spark)
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='wayloom-')}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+#: Folders named since the last ``passing`` began.
+_NAMED: list[str] = []
+
+
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder."""
-    return f"{shared_root(spark)}/wayloom-{name}-{uuid.uuid4().hex}"
+    _NAMED.append(f"{shared_root(spark)}/wayloom-{name}-{uuid.uuid4().hex}")
+    return _NAMED[-1]
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession):
+    """Folders named within are deleted at its end: what was made there must be written elsewhere by then."""
+    at = len(_NAMED)
+    yield
+    remove(spark, *_NAMED[at:])
+    del _NAMED[at:]
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
@@ -141,18 +157,20 @@ def thinned(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
-def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, name: str, max_rounds: int = 60, thin: bool = True) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: long); component is the smallest node.
 
-    Edges are thinned to forests where they lie. At most LOCAL_EDGES of them (16
+    Edges are thinned to forests where they lie (not those that come as forests, ``thin`` false). At most LOCAL_EDGES of them (16
     bytes each) go through one task; more take alternating large-star and
-    small-star rounds until no edge changes, with the same result. Every round writes its edges to the shared folder. A node with very many edges is
-    never gathered: minima are aggregated before they are shuffled, and the
-    joins back on the node are equi-joins that adaptive execution may split.
+    small-star rounds until no edge changes, with the same result. Every round
+    writes its edges to the shared folder. A node with very many edges is never
+    gathered: minima are aggregated before they are shuffled, and the joins back
+    on the node are equi-joins that adaptive execution may split.
     """
     spark = edges.sparkSession
     base = workspace(spark, f"cc-{name}")
-    cur = thinned(edges.where("a <> b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    cur = edges.where("a <> b")
+    cur = (thinned(cur) if thin else cur).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     cur = materialize(cur, f"{base}/0")
     if cur.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:
         found = thinned(cur.coalesce(1), LOCAL_EDGES * 4).select(F.col("a").alias("node"), F.col("b").alias("component"))

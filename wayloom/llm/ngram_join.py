@@ -7,10 +7,10 @@ features in which two sets differ. PartEnum cuts the feature domain into more
 than k / 2 parts by a hash and each part into three: in some part two similar
 sets differ in one feature at most, so on two of its three sub-parts they
 agree. Every pair of sub-parts of every part is a signature (the hash of what
-the set holds there), and similar sets share one. Signatures of fewer than
-three features say little; a set leaves them out where, by its count of such
-parts, a stronger one is sure to be shared, and else writes them in a
-namespace that only sets like it write.
+the set holds there), and similar sets share one. Signatures of few features say little; a set leaves out
+those with fewer than it can demand: as many parts agree as similarity asks
+for, so of its parts ranked by their weakest signature it needs only those from
+that rank on.
 
 Sets that share signatures are joined into candidate groups; members of large
 groups are joined anew by a finer enumeration. Within a group all sets are compared exactly (incidence matrix product, in blocks), and the
@@ -49,7 +49,8 @@ CHUNK, PER_PARTITION = 400_000, 1_000_000
 COARSE, FINE, SLACK = (3, 1), (6, 3), 0.3
 #: Sets and features in one block of a group.
 BLOCK_SETS, BLOCK_FEATURES = 1000, 1_000_000
-WORD_CACHE = 250_000
+#: Features that one comparing partition should get; words a worker remembers.
+PER_COMPARISON, WORD_CACHE = 4_000_000, 150_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -363,10 +364,11 @@ def components_of(link: np.ndarray) -> np.ndarray:
         label = new
 
 
-def compare_groups(members: DataFrame, percent: int) -> DataFrame:
+def compare_groups(members: DataFrame, percent: int, features: int = 0) -> DataFrame:
     """(a, b) that join classes by true links, from rows (gid, side, h, f): side 0 meets side 0 and side 1; side 1 meets side 0 alone.
 
-    A group's rows are in one partition, in order of the group, and have a bounded number of features.
+    A group's rows are in one partition, in order of the group, and have a bounded
+    number of features; partitions are as many as ``features``, those of all rows, ask for.
     """
 
     def run(batches):
@@ -402,7 +404,7 @@ def compare_groups(members: DataFrame, percent: int) -> DataFrame:
         if hs:
             yield finish()
 
-    n = shuffle_partitions(members.sparkSession)
+    n = max(shuffle_partitions(members.sparkSession), features // PER_COMPARISON + 1)
     return members.repartition(n, "gid").sortWithinPartitions("gid").mapInArrow(give_back(run), "a long, b long")
 
 
@@ -424,7 +426,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     base = workspace(spark, "ngram-join")
     src = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
     sets, edges = candidates(src, n, percent, f"{base}/found")
-    groups = materialize(connected_components(edges, "candidates").select(F.col("node").alias("h"), F.col("component").alias("g")), f"{base}/groups")
+    groups = materialize(connected_components(edges, "candidates", thin=False).select(F.col("node").alias("h"), F.col("component").alias("g")), f"{base}/groups")
     classes = materialize(sets.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs"), F.max("n").alias("n")), f"{base}/classes")
 
     # Features of the candidates alone, made again from their texts.
@@ -443,7 +445,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     have = materialize(texts.mapInArrow(give_back(features), "h long, g long, blocks int, block int, n long, f binary"), f"{base}/features")
     crowd = have.where("blocks > 1")
     if (many := crowd.agg(F.sum("n")).first()[0]) is not None:
-        again = connected_components(finer(crowd, many, percent, f"{base}/finer"), "finer").select(F.col("node").alias("h"), F.col("component").alias("g"))
+        again = connected_components(finer(crowd, many, percent, f"{base}/finer"), "finer", thin=False).select(F.col("node").alias("h"), F.col("component").alias("g"))
         placed = materialize(in_blocks(crowd.select("h", "n").distinct().join(again, "h")), f"{base}/placed")
         moved = crowd.select("h", "f").join(maybe_broadcast(placed), "h").select("h", "g", "blocks", "block", "n", "f")
         have = materialize(have.where("blocks = 1").union(moved), f"{base}/features-placed")
@@ -456,7 +458,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
         pivots = large.groupBy("g", "blocks", F.pmod("h", F.lit(8)).alias("r")).agg(F.min(F.struct("h", "f")).alias("x"))
         pivots = pivots.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "x.h", "x.f")
         members = members.union(pivots.select(name.alias("gid"), F.lit(0), "h", "f"))
-    links = materialize(compare_groups(members, percent), f"{base}/links")
+    features_held = have.agg(F.sum("n")).first()[0] or 0
+    links = materialize(compare_groups(members, percent, features_held), f"{base}/links")
     if split:
         links = links.union(materialize(compare_rest(large, links, percent, base), f"{base}/links-rest"))
 
