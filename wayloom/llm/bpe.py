@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame
 
 from wayloom.llm.common import give_back
 
-#: Entries a worker remembers before it starts afresh.
-CACHE_ENTRIES = 200_000
-#: Entries kept between tasks: the worker may serve other operators next.
-IDLE_ENTRIES = 40_000
+#: Bytes of pieces and of fragments that a worker remembers (of about ENTRY_BYTES each besides text and ids), over all its tasks.
+PIECE_BYTES, FRAGMENT_BYTES, ENTRY_BYTES = 20_000_000, 10_000_000, 200
+#: Longer pieces are not remembered.
+CACHE_CHARS = 64
 
 
 def byte_alphabet() -> list[str]:
@@ -47,9 +47,9 @@ def byte_alphabet() -> list[str]:
     return [names[b] for b in range(256)]
 
 
-def trim(cache: dict, keep: int | None = None) -> None:
-    """Keep the older half, or ``keep`` entries: frequent ones come early in a corpus."""
-    for key in list(islice(reversed(cache), max(0, len(cache) - (len(cache) // 2 if keep is None else keep)))):
+def trim(cache: dict) -> None:
+    """Keep the older half: frequent entries come early in a corpus."""
+    for key in list(islice(reversed(cache), len(cache) - len(cache) // 2)):
         del cache[key]
 
 
@@ -69,18 +69,20 @@ class ForcedBoundaryBPE:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
-        merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
+        same = {t: t for t in self.vocab}  # one string object per token
+        merges = [tuple(same.get(x, x) for x in (m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
         self.rank = {m: i for i, m in reversed(list(enumerate(merges)))}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.name = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.named = {i: f"{t} ".encode() for i, t in self.name.items()}
+        self.named = [self.name.get(i, "").encode() for i in range(1 + max(self.name, default=0))]
         parts = spec["pre_tokenizer"]["pretokenizers"]
         self.words = regex.compile(parts[0]["pattern"]["Regex"])
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.alphabet = byte_alphabet()
         self.inner, self.final = self._pairs()
         self.fragments: dict[tuple[str, bool], tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[bytes, bytes]] = {"": (b"", b"")}
+        self.pieces: dict[str, bytes] = {"": b""}
+        self.room = {"pieces": PIECE_BYTES, "fragments": FRAGMENT_BYTES}
 
     def _pairs(self) -> tuple[set[str], set[str]]:
         """Pairs inside tokens; those that end a word are kept apart, as their last symbol carries the suffix."""
@@ -119,6 +121,13 @@ class ForcedBoundaryBPE:
                 heapq.heappush(heap, (r, h, symbols[h], symbols[i]))
         return [self.vocab[s] for s, a in zip(symbols, alive) if a and s in self.vocab]
 
+    def _room(self, name: str, cache: dict, size: int, most: int) -> None:
+        """Account for a new entry of so many bytes; a full cache loses its newer half, and half its bytes are free again."""
+        self.room[name] -= ENTRY_BYTES + size
+        if self.room[name] < 0:
+            trim(cache)
+            self.room[name] = most // 2
+
     def fragment(self, text: str, ends: bool) -> tuple[int, ...]:
         got = self.fragments.get((text, ends))
         if got is None:
@@ -126,9 +135,9 @@ class ForcedBoundaryBPE:
             if ends:
                 symbols[-1] += self.suffix
             got = tuple(self._merge(symbols))
-            if len(self.fragments) >= CACHE_ENTRIES:
-                trim(self.fragments)
-            self.fragments[text, ends] = got
+            if len(text) <= CACHE_CHARS:
+                self._room("fragments", self.fragments, len(text) + 8 * len(got), FRAGMENT_BYTES)
+                self.fragments[text, ends] = got
         return got
 
     def cuts(self, word: str) -> list[int]:
@@ -171,22 +180,20 @@ class ForcedBoundaryBPE:
                 at = m.end()
         return out
 
-    def piece(self, piece: str) -> tuple[bytes, bytes]:
-        """(ids as 32-bit integers of this machine, decoded tokens each followed by a blank)."""
-        ids = self.encode_piece(piece)
-        got = (array("I", ids).tobytes(), b"".join(map(self.named.__getitem__, ids)))
-        if len(self.pieces) >= CACHE_ENTRIES:
-            trim(self.pieces)
-        if len(piece) <= 64:
+    def piece(self, piece: str) -> bytes:
+        """Ids as 32-bit integers of this machine."""
+        got = array("I", self.encode_piece(piece)).tobytes()
+        if len(piece) <= CACHE_CHARS:
+            self._room("pieces", self.pieces, len(piece) + len(got), PIECE_BYTES)
             self.pieces[piece] = got
         return got
 
     def encode_decode(self, text: str) -> tuple[bytes, bytes]:
         """Ids of a whole text as little-endian 32-bit integers, and the decoded text in UTF-8."""
         known = self.pieces
-        got = [known.get(p) or self.piece(p) for p in split_pieces(text)]
-        ids = b"".join([g[0] for g in got])
-        return ids if byteorder == "little" else np.frombuffer(ids, "u4").astype("<u4").tobytes(), b"".join([g[1] for g in got])[:-1]
+        ids = b"".join([known[p] if p in known else self.piece(p) for p in split_pieces(text)])
+        whole = np.frombuffer(ids, "u4")
+        return ids if byteorder == "little" else whole.astype("<u4").tobytes(), b" ".join(map(self.named.__getitem__, whole.tolist()))
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_decode(text)[0], "<u4").tolist()
@@ -211,7 +218,7 @@ def rows(batches, columns: tuple[str, ...], step: int = 256):
 def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``with_ids`` also ids and decoded.
 
-    Narrow: no shuffle, memory bounded by one batch of rows and the worker's cache.
+    Narrow: no shuffle, memory bounded by one batch of rows and the worker's cache of fixed size.
     """
 
     def run(batches):
@@ -223,8 +230,6 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 out["ids"] = pa.array([np.frombuffer(a, "<u4").astype(np.int32) for a, _ in both], pa.list_(pa.int32()))
                 out["decoded"] = [b.decode() for _, b in both]
             yield pa.RecordBatch.from_pydict(out)
-        for cache in (bpe.pieces, bpe.fragments):
-            trim(cache, IDLE_ENTRIES)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
     return docs.selectExpr(f"cast(`{id_col}` as long) k", f"`{text_col}` t").mapInArrow(give_back(run), schema)
