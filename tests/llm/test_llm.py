@@ -48,6 +48,24 @@ def test_topk(spark):
     assert topk.top_inner_products(df.limit(0), "k % 50 = 0", 5).count() == 0
 
 
+@pytest.mark.parametrize("block, lane", [(16_384, 1024), (3, 20)])
+def test_topk_grid_and_huge_components(spark, monkeypatch, block, lane):
+    """Small cells of the grid, and components whose products doubles can't hold; scores are set to 64 bits."""
+    for name, v in {"QUERIES_PER_BLOCK": block, "ROWS_PER_LANE": lane, "ROWS_PER_PACK": 16, "QUERIES_AT_ONCE": 2}.items():
+        monkeypatch.setattr(topk, name, v)
+    random.seed(11)
+    big = [2.0**45, -(2.0**60), 1e300, 2.0**17]
+    rows = [(i, [random.choice(big) if random.random() < 0.02 else random.gauss(0, 1) for _ in range(8)]) for i in range(200)] + [(200 + i, [0.5] * 8) for i in range(5)]
+    got = sorted(map(tuple, topk.top_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "k % 20 = 0", 3).collect()))
+    whole = [(i, [int(np.floor(256 * c)) for c in v]) for i, v in rows]
+    want = []
+    for i, q in whole:
+        if i % 20 == 0:
+            s = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, x)))), j) for j, x in whole if j != i)[:3]
+            want += [(i, r + 1, j, -v) for r, (v, j) in enumerate(s)]
+    assert got == sorted(want)
+
+
 def test_topk_bounds_hold():
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(40, 30)), rng.normal(size=(50, 30))
@@ -80,6 +98,11 @@ def test_archives(spark):
     assert got[-5].refers_to == 2**62 and got[None].record_type == "response"
     assert got[1].payload_digest == warc.sha1_base32(b"same") and got[1].payload_bytes == 4
     assert warc.archive_pages(df.limit(0)).count() == 0
+    urls = [(1, "ftp://f.org/x"), (2, "HTTPS://a.org/"), (3, "no scheme"), (4, "filedesc://x"), (5, "dns:a"), (6, None), (7, " ")]
+    long = "é" * 300_000
+    kept = {r.page_id: r for r in warc.archive_pages(spark.createDataFrame([(i, u, f"{long}{i}") for i, u in urls], "page_id long, url string, html string")).collect()}
+    assert [kept[i].target_uri for i in range(1, 8)] == ["ftp://f.org/x", "HTTPS://a.org/", "no%20scheme", "filedesc://x", "dns:a", "urn:wayloom:page:6", "urn:wayloom:page:7"]
+    assert {(r.record_type, r.payload_bytes) for r in kept.values()} == {("response", 600_001)}
     for k in (None, 0, -1, 2**63 - 1, -(2**63)):
         assert warc.id_key(warc.key_id(k)) == k
 
@@ -89,9 +112,9 @@ def test_archives(spark):
 
 def test_url_filter(spark):
     random.seed(2)
-    hosts = ["a.org", "b.a.org", "xa.org", "A.ORG", "org", "com", "q.com", "", "a.org:80"]
+    hosts = ["a.org", "b.a.org", "xa.org", "A.ORG", "org", "com", "q.com", "", "a.org:80", "com,x", "org,a", "a..org", ".org", "a.org0", "b.a.org,c", "\U0010ffff.a.org", "a.org\U0010ffff"]
     paths = ["", "/", "/x", "/x/y", "/z?q=/x", "#/x"]
-    rows = [(i, f"http://{random.choice(hosts)}{random.choice(paths)}") for i in range(400)] + [(900, None), (901, "no scheme"), (902, "://")]
+    rows = [(i, f"http://{random.choice(hosts)}{random.choice(paths)}") for i in range(800)] + [(5000 + i, "http://hot.a.org/x/y") for i in range(500)] + [(900, None), (901, "no scheme"), (902, "://")]
     rules = [("block", "a.org", "/x"), ("allow", "org", "/"), ("block", "b.a.org", "/"), ("allow", "a.org", "/x/y"), ("block", "com", "/z"), ("block", "", "/")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, verdict string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(df, url_filter.rules_frame(spark, rules)).collect()}
@@ -105,6 +128,8 @@ def test_url_filter(spark):
         best = max(fit, key=lambda r: (len(r[1] + r[2]), len(r[1])), default=None)
         assert got[i] == (host, path, best and best[1] + best[2], best[0] if best else "allow"), u
     assert url_filter.filter_urls(df.limit(0), url_filter.rules_frame(spark, rules)).count() == 0
+    twice = url_filter.filter_urls(df.union(df), url_filter.rules_frame(spark, [*rules, ("allow", "a.org", "/x")])).collect()
+    assert len(twice) == 2 * len(rows) and {r.verdict for r in twice if r.rule == "a.org/x"} == {"allow"}
 
 
 # 4, 7 ------------------------------------------------------------------------
@@ -136,8 +161,23 @@ def test_token_store_short_access(spark, tok):
         d = f.read()
     hits = [x for m in manifest if (x := token_store.read_document(m["path"], d, 7)) is not None]
     assert len(hits) == 1 and hits[0].tolist() == [*bpe.load(tok).encode("text 7"), 2]
+    assert token_store.read_document(manifest[0]["path"], d, 99) is None
     with pytest.raises(ValueError):
         next(token_store.read_shard(manifest[0]["path"], d + b"x"))
+    with pytest.raises(ValueError):
+        token_store.read_document(manifest[0]["path"], d + b"x", 7)
+
+
+def test_token_store_rolls_shards(spark, tok, monkeypatch):
+    monkeypatch.setattr(token_store, "SHARD_BYTES", 100)
+    rows = [(i // 2, f"some text of document {i}") for i in range(2000)] + [(None, "x")]
+    df = docs(spark, rows).coalesce(1)
+    folder = common.workspace(spark, "tokens")
+    manifest = token_store.write_tokens(df, folder, tok, 2)
+    assert len(manifest) > 4 and sum(m["docs"] for m in manifest) == len(rows)
+    got = sorted(token_store.read_tokens(spark, folder, manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, *sorted(i // 2 for i in range(2000))]
+    assert [r.start for r in got[1:]] == np.cumsum([r.n_tokens for r in got])[:-1].tolist()
 
 
 def test_library_encoder_remembers_rightly(tok, monkeypatch):
@@ -223,6 +263,20 @@ def test_label_model_finds_the_good_voter():
     assert ((post > 0.5) == y).mean() > 0.95 and say[1, 0, 2] > say[1, 1, 2] and corr[2, 3] > 0.9
 
 
+def test_label_model_estimates_accuracies():
+    """Of voters, the given label too; one that others repeat doesn't outvote better ones, and labels don't settle the posterior."""
+    rng = np.random.default_rng(6)
+    y = rng.random(8000) < 0.3
+    vote = lambda acc: np.where(rng.random(8000) < acc, np.where(y, 1, -1), np.where(y, -1, 1))
+    bad = vote(0.6)
+    votes = np.stack([vote(0.9), vote(0.85), bad, bad, bad, bad, bad, vote(0.8)], 1)
+    post, say, _ = toxicity.label_model(votes, 7)
+    for j, acc in ((0, 0.9), (1, 0.85), (7, 0.8)):
+        assert abs(say[0, j, 0] - acc) < 0.06 and abs(say[1, j, 2] - acc) < 0.08, (j, say[:, j])
+    assert ((post > 0.5) == y).mean() > max(0.9, ((votes[:, 7] > 0) == y).mean() + 0.05)
+    assert ((post > 0.5) != (votes[:, 7] > 0)).mean() > 0.1
+
+
 # 6 ---------------------------------------------------------------------------
 
 
@@ -257,6 +311,35 @@ def test_leaks_with_frequent_seeds(spark):
     assert {(r.doc_id, r.item_id): (r.score, r.n_seeds) for r in got} == {(i, k): v for i in range(60) for k, v in ((1, (1.0, 1)), (2, (0.75, 1)), (3, (17 / 30, 1)))}
 
 
+def test_leaks_as_brute_force(spark):
+    """Every document against every item, edited copies included; the pairs without a seed in common are left out."""
+    random.seed(16)
+    vocab = [f"v{i}" for i in range(60)]
+    items = [(i, [random.choice(vocab) for _ in range(random.choice([3, 5, 12, 25]))]) for i in range(12)]
+    items += [(100 + i, items[3][1]) for i in range(10)]
+    rows = []
+    for i in range(120):
+        t = [random.choice(vocab) for _ in range(random.choice([0, 10, 80, 400]))]
+        for _ in range(random.randint(0, 3)):
+            w = list(random.choice(items)[1])
+            for _ in range(random.randint(0, 8)):
+                p = random.randrange(len(w))
+                w[p : p + 1] = random.choice([["x", w[p]], [], ["x"], [w[p], "x", "x"]]) if len(w) > 2 else w[p : p + 1]
+            at = random.randint(0, len(t))
+            t[at:at] = w
+        rows.append((i, " ".join(t)))
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(docs(spark, [*rows, *rows[:7]]), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()}
+    grams = lambda w: {*zip(w, w[1:], w[2:])}
+    want = {}
+    for i, t in rows:
+        ws = t.split()
+        for k, w in items:
+            if grams(ws) & grams(w) and (v := decontaminate.smith_waterman(tuple(w), tuple(ws)) / (2 * len(w))) >= 0.5:
+                want[i, k] = v
+    assert got == want and sum(v < 1 for v in want.values()) > 20
+    assert sum(k >= 100 for _, k in want) == 10 * sum(k == 3 for _, k in want) > 0
+
+
 def test_smith_waterman():
     def plain(a, b):
         h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
@@ -317,6 +400,85 @@ def test_chat_passages(spark):
     assert [got[c, 1].n_linked for c in (1, 2, 3, 4)] == [3, 1, 1, 1]
 
 
+def brute_chat(rows):
+    """(reply_to, n_linked, thread) of each (conv, turn), and the positions of all rows, by plain loops."""
+
+    def units(text, quoted):
+        lines = []
+        for line in re.split(r"\r?\n", text):
+            marks = re.match(r"(?:[ \t]*>)*", line)[0]
+            lines.append((marks.count(">"), re.sub(r"\s+", " ", line[len(marks) :]).strip(" ").lower()))
+        out, runs, last = [], [], None
+        for level, norm in lines:
+            if not norm:
+                last = None
+                continue
+            if last != level:
+                runs.append((level, []))
+            runs[-1][1].append(norm)
+            last = level
+        runs = [r for r in runs if (r[0] > 0) == quoted]
+        out += [(level, x) for level, xs in runs for x in xs] + [(level, " ".join(xs)) for level, xs in runs if len(xs) > 1]
+        wide = []
+        for level, xs in runs:
+            if wide and wide[-1][0] == level:
+                wide[-1][1].append(xs)
+            else:
+                wide.append((level, [xs]))
+        return out + [(level, " ".join(x for xs in xss for x in xs)) for level, xss in wide if len(xss) > 1]
+
+    known = {(c, t, x or "") for c, t, _, x in rows if c is not None and t is not None}
+    links = {}
+    for c, t in {(c, t) for c, t, _ in known}:
+        per = {}
+        for x in [x for d, u, x in known if (d, u) == (c, t)]:
+            for level, norm in units(x, True):
+                src = [u for d, u, y in known if d == c and u < t and any(norm == z for _, z in units(y, False))]
+                if src:
+                    n, size = per.get((level, max(src)), (0, 0))
+                    per[level, max(src)] = (n + 1, size + len(norm))
+        if per:
+            links[c, t] = (max((-level, size, src) for (level, src), (_, size) in per.items())[2], sum(n for n, _ in per.values()))
+
+    def root(c, t):
+        return root(c, links[c, t][0]) if (c, t) in links else t
+
+    return {(c, t): (*links.get((c, t), (None, 0)), root(c, t)) for c, t, _, _ in rows}
+
+
+def test_chat_as_brute_force(spark):
+    random.seed(18)
+    words = "one two three four five six seven".split()
+    rows = []
+    for c in range(12):
+        said = []
+        for t in range(14):
+            lines = []
+            for _ in range(random.randint(0, 6)):
+                own = " ".join(random.choice(words) for _ in range(random.randint(1, 3)))
+                old = random.choice(said).split("\n") if said else ["none"]
+                lines += random.choice([[own], [own, own + " x"], [""], [f"> {x}" for x in old], [f">  {random.choice(old).upper()}"], ["> " + " ".join(x for x in old if not x.startswith(">"))], [f"> > {own}"]])
+            said.append("\n".join(lines))
+            rows.append((c, t * random.choice([1, 200]), random.choice("ab"), random.choice([said[-1], None]) if random.random() < 0.1 else said[-1]))
+    rows += [(0, 5, "a", "> one\nother"), (20, 0, "a", "q" * 200_000), (20, 1, "a", "> " + "Q" * 200_000)]
+    df = spark.createDataFrame([(*r, 1) for r in [*rows, *rows]], "conv_id long, turn long, role string, text string, position int")  # every row twice
+    got = chat.format_conversations(df).collect()
+    assert len(got) == 2 * len(rows)
+    want = brute_chat(rows)
+    assert {(r.conv_id, r.turn): (r.reply_to, r.n_linked, r.thread) for r in got} == want and sum(v[0] is not None for v in want.values()) > 30
+    for c in {r[0] for r in rows}:
+        own = sorted((r.position, r.thread, r.turn, r.role) for r in got if r.conv_id == c)
+        assert [p for p, *_ in own] == [*range(1, len(own) + 1)] and [x[1:] for x in own] == sorted(x[1:] for x in own)
+
+
+def test_chat_rows_without_a_turn(spark):
+    df = spark.createDataFrame([(c, None, "a", f"t{i}") for i in range(50) for c in (1, None)] + [(1, 3, "a", "x")], "conv_id long, turn long, role string, text string")
+    got = chat.format_conversations(df).collect()
+    for c, n in ((1, 51), (None, 50)):
+        assert sorted(r.position for r in got if r.conv_id == c) == [*range(1, n + 1)]
+    assert next(r for r in got if r.turn == 3).position == 51
+
+
 # 9 ---------------------------------------------------------------------------
 
 
@@ -409,17 +571,20 @@ def test_pii_patterns():
         t = "".join(random.choice(parts) for _ in range(random.randint(0, 14)))
         assert pii.base_spans(t) == brute_pii(t), repr(t)
     assert pii.base_spans("1" * 50000 + "." + "a" * 50000 + "@") == []
+    zeros = "0" * 5000
+    assert pii.base_spans(f"{zeros}.1.2.{zeros}255 x") == [(0, 10008, 1)] and pii.base_spans(f"{zeros}.1.2.{zeros}256") == []
+    assert pii.mask_texts([f"{zeros}.1.2.3"]) == ["<IP>"]
 
 
 def test_shape_reads_whole_tokens():
-    assert pii.shape("-" * 70 + "12") == "-92" and pii.token_features("a" * 70 + "@b1")[0] == "s=a@a91"
+    assert pii.shape("-" * 70 + "12") == "-92" and pii.features("a" * 70 + "@b1")[0] == "s=a@a91"
 
 
 def test_field_adds_spans():
     f = pii.field()
     right = total = 0
     for toks, tags in pii.labelled():
-        right += sum(a == b for a, b in zip(f.viterbi([toks])[0], tags))
+        right += sum(a == b for a, b in zip(f.viterbi([f.classes(toks)])[0], tags))
         total += len(tags)
     assert right / total > 0.97
     t = "please phone (212) 555-0188 after lunch, order 1002003004005006 left"
@@ -427,14 +592,40 @@ def test_field_adds_spans():
     assert [t[a:b] for a, b, _ in more] == ["(212) 555-0188"]
 
 
-def test_viterbi_is_the_best_path():
-    import itertools
-
-    f = pii.field()
-    toks = ["call", "+1", "(212)"]
-    e = f.emission(toks)
-    best = max(itertools.product(range(len(pii.LABELS)), repeat=3), key=lambda p: f.first[p[0]] + e[0, p[0]] + sum(f.trans[p[i - 1], p[i]] + e[i, p[i]] for i in (1, 2)))
-    assert f.viterbi([toks])[0] == list(best)
+def plain_path(f, toks):
+    """Best labels and their score by a plain loop over a whole sequence, from the features of each place."""
+    score, back = None, []
+    for i in range(len(toks)):
+        e = f.w[[f.index[x] for x in pii.context(toks, i) if x in f.index]].sum(0)
+        if score is None:
+            score = f.first + e
+        else:
+            z = score[:, None] + f.trans
+            back.append(z.argmax(0))
+            score = z.max(0) + e
+    path = [int(score.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return path[::-1], float(score.max())
+
+
+def test_viterbi_is_the_best_path_over_whole_texts(monkeypatch):
+    f, pick = pii.field(), random.Random(20)
+    monkeypatch.setattr(pii, "KNOWN_TOKENS", 40)
+    monkeypatch.setattr(pii, "BATCH_CHARS", 400)
+    lines = [t for t, _ in pii.labelled()]
+    texts = ["", "x", "call +1 (212) 555-0188"]
+    for _ in range(60):
+        texts.append(" ".join(pick.choice(pick.choice(lines)) + pick.choice(["", "", ".", ","]) if pick.random() < 0.7 else pick.choice(["Word", "été,", "ǅungla", "中", "a" * 60, str(pick.randrange(10**6)), "+49", "m@x"]) for _ in range(pick.choice([1, 5, 30, 200]))))
+    base = [pii.base_spans(t) for t in texts]
+    got = pii.added_spans(texts, base, f)
+    for t, b, g, p in zip(texts, base, got, f.viterbi([f.classes(t.split()) for t in texts])):
+        want, best = plain_path(f, t.split()) if t else ([], 0.0)
+        if p.tolist() != want:  # a tie within rounding
+            e = [f.w[[f.index[x] for x in pii.context(t.split(), i) if x in f.index]].sum(0) for i in range(len(want))]
+            assert abs(f.first[p[0]] + sum(x[j] for x, j in zip(e, p)) + sum(f.trans[i, j] for i, j in zip(p, p[1:])) - best) < 1e-3
+        assert g == pii.spans_of(t, p, b)
+    assert sum(map(len, got)) > 10
 
 
 def test_pii_rows(spark):
@@ -470,10 +661,41 @@ def test_pipeline(spark, tok):
             assert (got[i].ids_sha256, got[i].decoded_sha256) == (hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest())
 
 
-def test_stages_take_odd_rows(spark):
+ODD = [(1, "same words in this text here", "z"), (1, "same words in this text here", "z"), (2, None, "z"), (None, "mail a@b.cd", "z"), (3, "", "z"), (4, "ж" * 50_000 + " word" * 20_000, "z"), (None, None, None)]
+
+
+def test_stages_take_odd_rows(spark, tok):
+    """Nulls, empty and very long texts, repeated rows, further columns with clashing names, empty tables, in every stage."""
     import corpus_pipeline as p
 
-    d = spark.createDataFrame([(1, "same words in this text here", "z"), (1, "same words in this text here", "z"), (2, None, "z"), (None, "mail a@b.cd", "z"), (3, "", "z")], "doc_id long, text string, component_id string")
-    assert p.drop_near_copies(spark, d, DATA).count() == 4
-    assert p.mask_personal_data(spark, d, DATA).where("text = 'mail <EMAIL>'").count() == 1
+    d = spark.createDataFrame([(*r, 7, 0.5, "k") for r in ODD], "doc_id long, text string, component_id string, n_chars int, score double, word string")
+    sizes = {"toxicity": 7, "n-gram Jaccard join": 6, "benchmark decontamination": 7, "PII": 7, "BPE encoding and decoding": 7}
+    for name, stage in p.STAGES:
+        got = stage(spark, d, DATA)
+        assert got.count() == sizes[name], name
+        assert stage(spark, d.limit(0), DATA).count() == 0, name
+        assert (got.columns == d.columns) == (stage is not p.encode), name
+    masked = {(r.doc_id, r.text and r.text[:20], r.n_chars) for r in p.mask_personal_data(spark, d, DATA).collect()}
+    assert (None, "mail <EMAIL>", 12) in masked and (2, None, None) in masked and (None, None, None) in masked
     assert p.without(d, spark.createDataFrame([(2,)], "dropped_id long")).columns == d.columns
+
+
+# SQL -------------------------------------------------------------------------
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["op1_topk", "op2_warc", "op3_url_filter", "op9_ngram_join"])
+def test_same_as_sql(spark, name):
+    import duckdb
+
+    from wayloom.llm import queries
+
+    assert {*queries.oracle_sql()} == {"op1_topk", "op2_warc", "op3_url_filter", "op9_ngram_join"}
+    duck = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        duck.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    res = duck.execute(queries.oracle_sql()[name])
+    names = [c[0] for c in res.description]
+    want = sorted(map(str, res.fetchall()))
+    got = queries.queries()[name](spark, DATA)
+    assert {*names} == {*got.columns} and sorted(str(tuple(r[c] for c in names)) for r in got.collect()) == want
