@@ -68,7 +68,6 @@ def test_bbox_over_antimeridian():
 
 
 def test_chain_does_not_merge(spark):
-    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir("/tmp/wayloom-tests")
     e = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0)], "i long, j long, metres double")
     got = {r.idx: r.cluster for r in resolution.complete_linkage(e).collect()}
     assert got[1] == got[2] == 1 and got[3] == 3
@@ -111,20 +110,6 @@ def test_entry_has_rows(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-def test_jaccard_pairs_all_reads_every_part(spark):
-    import re
-    from itertools import combinations
-
-    from conftest import DATA
-
-    from wayloom.plans import catalog
-
-    words = lambda r: {w for w in re.findall(r"[^\W_]+", f"{r.p_name} {r.p_type}".lower()) if len(w) >= 2}
-    parts = sorted((r.p_partkey, r.p_brand, words(r)) for r in spark.read.parquet(f"{DATA}/part.parquet").collect())
-    want = {(a, b): round(len(x & y) / len(x | y), 9) for (a, m, x), (b, n, y) in combinations(parts, 2) if m == n}
-    assert {(r.i, r.j): r.overlap for r in catalog.queries()["jaccard_pairs_all"](spark, DATA).collect()} == want
-
-
 def test_pairs_two_cells_apart_within_the_radius(spark):
     t = ts("2024-01-01 10:00:00")
     rows = [(1, 4.0005, 50.00190, "x", "a", "A1", t, 1, 1), (2, 4.0005, 50.00405, "x", "b", "A1", t, 2, 1)]

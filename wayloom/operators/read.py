@@ -22,6 +22,36 @@ DECAY_S = {
 DECAY_FALLBACK = (900, 1800, 7200)
 TYPE_SEVERITY = {"obstruction": "medium", "detour": "low", "roadworks": "low", "broken_down_vehicle": "low", "weather": "low", "road_condition": "low", "speed_restriction": "low", "dimension_restriction": "low", "transit_disruption": "low"}
 DELAY_HIGH_S = 1200
+RELEASED = ["authoritative", "aggregate", "crowd_pseudonym", "dp_noised", "k_anon"]
+# Declared severities by format, and types by a source's code: type, category, planned.
+SEVERITIES = {
+    "open511": {"minor": "low", "moderate": "medium", "major": "high"},
+    "datex2": {"lowest": "low", "low": "low", "medium": "medium", "high": "high", "highest": "critical"},
+}
+TYPES = {
+    ("accident", "incident", False): "accident incident crash accident_report preliminary_accident_report",
+    ("broken_down_vehicle", "incident", False): "vehicleobstruction",
+    ("lane_closure", "incident", False): "roadorcarriagewayorlanemanagement",
+    ("detour", "conditions", False): "reroutingmanagement detour",
+    ("speed_restriction", "conditions", False): "speedmanagement",
+    ("obstruction", "incident", False): "generalobstruction",
+    ("hazard", "incident", False): "infrastructuredamageobstruction environmentalobstruction",
+    ("hazard", "conditions", False): "hazard warning general",
+    ("roadworks", "planned", True): "maintenanceworks constructionworks construction work-zone roadworks road_work",
+    ("other", "conditions", False): "generalnetworkmanagement",
+    ("road_closure", "incident", False): "roadclosure closure",
+    ("congestion", "conditions", False): "abnormaltraffic congestion",
+    ("weather", "conditions", False): "weatherrelated poorenvironmentconditions weather_condition",
+    ("road_condition", "conditions", False): "roadsurfaceconditions road_condition",
+    ("public_event", "planned", True): "publicevent special_event",
+    ("authority", "incident", False): "authority exempted_transport",
+    ("transit_disruption", "incident", False): "transitdisruption",
+    ("equipment_fault", "conditions", False): "equipmentorsystemfault",
+    ("security", "incident", False): "securityincident",
+    ("dimension_restriction", "conditions", False): "dimensionrestriction weight_restriction",
+    ("contraflow", "conditions", False): "contraflow",
+}
+CLOSURES = ["road_closure", "lane_closure"]
 
 
 def envelope_overlaps(west: float, south: float, east: float, north: float) -> Column:
@@ -77,7 +107,7 @@ def record_stale(updated: Column, window_s: Column, now: Column) -> Column:
 
 def derived_severity(state: Column, affected: Column, total: Column) -> Column:
     by_lanes = F.when(affected >= total, "high").when(affected * 3 >= total, "medium").otherwise("low")
-    return F.when(state == "closed", "high").when((total > 0) & (affected > 0), by_lanes).when(state.isin("some_lanes_closed", "alternating"), "medium").otherwise("unknown")
+    return F.when(state == "closed", "high").when((total > 0) & (affected > 0), by_lanes).when(state.isin("some_lanes_closed", "single_lane_alternating"), "medium").otherwise("unknown")
 
 
 def enriched_severity(severity: Column, state: Column, affected: Column, total: Column, kind: Column, delay_s: Column) -> Column:
@@ -90,6 +120,32 @@ def enriched_severity(severity: Column, state: Column, affected: Column, total:
     return F.when((delay_s >= DELAY_HIGH_S) & (severity_rank(first) < 3), "high").otherwise(first)
 
 
+def normalised_severity(raw: Column, form: str) -> Column:
+    """A format's declared severity in the engine's words; unknown for others."""
+    out = F.lit("unknown")
+    for name, value in SEVERITIES.get(form, {}).items():
+        out = F.when(F.lower(raw) == name, value).otherwise(out)
+    return out
+
+
+def source_type(code: Column) -> Column:
+    """(type, category, planned) of a source's code, whatever its case and prefix before a colon; other, conditions, not planned for unknown ones."""
+    bare = F.lower(F.regexp_replace(code, "^[^:]*:", ""))
+    entry = lambda t: F.struct(F.lit(t[0]).alias("type"), F.lit(t[1]).alias("category"), F.lit(t[2]).alias("planned"))
+    out = entry(("other", "conditions", False))
+    for kind, codes in TYPES.items():
+        out = F.when(bare.isin(codes.split()), entry(kind)).otherwise(out)
+    return out
+
+
+def excludable(at: Column) -> Column:
+    """Whether routing must avoid a row at a time: an active event of a feed or an eligible crowd, a closure or critical, in its window."""
+    routable = (F.col("origin_kind") == "feed") | ((F.col("origin_kind") == "crowd") & F.coalesce("routing_eligible", F.lit(False)))
+    heavy = F.coalesce(F.col("type").isin(CLOSURES), F.lit(False)) | F.coalesce(F.col("severity") == "critical", F.lit(False))
+    inside = ~F.coalesce(F.col("valid_from") > at, F.lit(False)) & ~F.coalesce(F.col("valid_to") < at, F.lit(False))
+    return F.coalesce((F.col("kind") == "event") & (F.col("status") == "active") & routable, F.lit(False)) & heavy & inside
+
+
 def decay_seconds(kind: Column, origin: Column) -> Column:
     crowd, feed = F.lit(DECAY_FALLBACK[0]), F.lit(DECAY_FALLBACK[1])
     for name, (c, f, _) in DECAY_S.items():
@@ -112,7 +168,7 @@ def with_congestion_events(flows: DataFrame) -> DataFrame:
 
 def archive_rows(obs: DataFrame, now: Column) -> DataFrame:
     """Active, unexpired, of a released privacy class; without a class only feed rows."""
-    released = F.col("privacy_class").isin("public", "aggregate")
+    released = F.col("privacy_class").isin(RELEASED)
     return obs.where(live(now) & F.when(F.col("privacy_class").isNull() | (F.col("privacy_class") == "unknown"), F.col("origin_kind") == "feed").otherwise(released))
 
 

@@ -3,16 +3,28 @@
 from __future__ import annotations
 
 import math
+import tempfile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wayloom.functions.geometry import polyline_distance_m, sampled
 from wayloom.functions.scalars import cell, haversine_m, jaccard, json_hash, time_bucket, tokens
 
 CELL_DEG = 0.002
 
 
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to spark.checkpoint.dir; unset, a local master gets a folder, a cluster an error."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="wayloom-"))
+
+
 def near_pairs(rows: DataFrame, radius_m: float, strict: bool = False) -> DataFrame:
     """(i, j, metres) of rows (idx, lon, lat, type) of one type within the radius, i < j.
 
@@ -30,6 +42,23 @@ def near_pairs(rows: DataFrame, radius_m: float, strict: bool = False) -> DataFr
     return j.select(F.col("a.idx").alias("i"), F.col("b.idx").alias("j"), m.alias("metres")).where(F.col("metres") <= radius_m)
 
 
+def similar_labels(rows: DataFrame, overlap: float) -> DataFrame:
+    """(i, j, overlap) of rows (idx, block, words) of one block whose words overlap by at least ``overlap``.
+
+    Two such sets share one of each one's rarest words, as many as it may miss
+    and one more; only rows that share such a word meet.
+    """
+    e = rows.select("idx", "block", F.size("words").alias("n"), F.explode("words").alias("w"))
+    often = e.groupBy("block", "w").agg(F.count("*").alias("c"))
+    rare = Window.partitionBy("block", "idx").orderBy("c", "w")
+    e = e.join(often, ["block", "w"]).withColumn("r", F.row_number().over(rare)).where(F.col("r") <= F.col("n") - F.ceil(F.lit(overlap) * F.col("n")) + 1).select("idx", "block", "w", "n")
+    a, b = e.alias("a"), e.alias("b")
+    size = (F.col("a.n") >= overlap * F.col("b.n")) & (F.col("b.n") >= overlap * F.col("a.n"))
+    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.idx") < F.col("b.idx")) & size).select(F.col("a.idx").alias("i"), F.col("b.idx").alias("j")).distinct()
+    side = lambda n: rows.select(F.col("idx").alias(n), F.col("words").alias(f"w{n}"))
+    return pairs.join(side("i"), "i").join(side("j"), "j").select("i", "j", jaccard(F.col("wi"), F.col("wj")).alias("overlap")).where(F.col("overlap") >= overlap)
+
+
 def same_source_edges(rows: DataFrame, radius_m: float = 60.0, overlap: float = 0.5) -> DataFrame:
     """Pairs of one source that are near and whose labels overlap; a missing label passes."""
     pairs = near_pairs(rows, radius_m)
@@ -60,6 +89,8 @@ def complete_linkage(edges: DataFrame) -> DataFrame:
     joins, each label then replaced by its own, until none moves); the greedy
     pass runs inside each, whose size the blocking bounds by density of places.
     """
+    spark = edges.sparkSession
+    shared_checkpoints(spark)
     both = edges.select("i", "j").union(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
     label = both.select(F.col("i").alias("n")).distinct().withColumn("c", F.col("n"))
     while True:  # ends, as labels only fall
@@ -87,6 +118,44 @@ def complete_linkage(edges: DataFrame) -> DataFrame:
     return grouped.groupBy("c").applyInPandas(lambda pdf: greedy(pdf), "idx long, cluster long")
 
 
+def geometry_edges(rows: DataFrame, near_m: float = 75.0, road_m: float = 250.0) -> DataFrame:
+    """Pairs (i, j, metres) of events (idx, source, type, points, roads) of different sources and one type whose geometries are near.
+
+    Farther apart if they share a road, never if their roads conflict. points:
+    positions; roads: array of normalised names. Every sampled vertex goes to its
+    cell, its partner's to the cells around, so long lines meet wherever their
+    vertices do; of candidates the exact distance between the lines decides.
+    """
+    r = rows.select("idx", "source", "type", sampled(F.col("points")).alias("points"), F.coalesce("roads", F.array().cast("array<string>")).alias("roads"))
+    v = r.select("idx", "type", F.explode("points").alias("p")).select("idx", "type", F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat"))
+    far = max(near_m, road_m)
+    up = math.ceil(far / (111_194 * CELL_DEG))
+    reach = F.ceil(far / (F.greatest(F.cos(F.radians("lat")), F.lit(0.01)) * 111_195 * CELL_DEG)).cast("int")
+    home = v.withColumns({"cx": cell(F.col("lon"), CELL_DEG), "cy": cell(F.col("lat"), CELL_DEG)})
+    around = home.withColumn("cx", F.explode(F.sequence(F.col("cx") - reach, F.col("cx") + reach))).withColumn("cy", F.explode(F.sequence(F.col("cy") - up, F.col("cy") + up)))
+    a, b = home.select("idx", "type", "cx", "cy").distinct().alias("a"), around.select("idx", "type", "cx", "cy").distinct().alias("b")
+    pairs = a.join(b, (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.type") == F.col("b.type")) & (F.col("a.idx") != F.col("b.idx")))
+    pairs = pairs.select(F.least("a.idx", "b.idx").alias("i"), F.greatest("a.idx", "b.idx").alias("j")).distinct()
+    side = lambda n: r.select(F.col("idx").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("source", "points", "roads")])
+    j = pairs.join(side("i"), "i").join(side("j"), "j").where("source_i <> source_j")
+    shared = F.arrays_overlap("roads_i", "roads_j")
+    clash = (F.size("roads_i") > 0) & (F.size("roads_j") > 0) & ~shared
+    j = j.where(~clash).withColumn("metres", polyline_distance_m(F.col("points_i"), F.col("points_j")))
+    return j.where(F.col("metres") <= F.when(shared, road_m).otherwise(near_m)).select("i", "j", "metres")
+
+
+def merged(rows: DataFrame, clusters: DataFrame) -> DataFrame:
+    """One row per cluster, at its earliest member's position: the kept idx, its position, and the (source, id) of the others.
+
+    Feed before crowd, richer, newer, earlier. rows: (idx, id, source, origin_kind, richness, updated_at).
+    """
+    j = rows.join(clusters, "idx", "left").withColumn("cluster", F.coalesce("cluster", "idx"))
+    rank = F.struct((F.coalesce("origin_kind", F.lit("")) == "feed").cast("int").alias("f"), "richness", "updated_at", (-F.col("idx")).alias("o"))
+    every = F.array_sort(F.collect_list(F.struct("idx", "source", "id")))
+    g = j.groupBy("cluster").agg(F.max_by("idx", rank).alias("kept"), F.min("idx").alias("position"), every.alias("all"))
+    return g.select("kept", "position", F.transform(F.filter("all", lambda x: x.idx != F.col("kept")), lambda x: F.struct(x.source.alias("source"), x.id.alias("id"))).alias("merged_sources"))
+
+
 def survivors(rows: DataFrame, clusters: DataFrame) -> DataFrame:
     """The kept row of each cluster (feed before crowd, richer, newer, earlier) with the sources merged into it."""
     j = rows.join(clusters, "idx", "left").withColumn("cluster", F.coalesce("cluster", "idx"))
@@ -95,6 +164,23 @@ def survivors(rows: DataFrame, clusters: DataFrame) -> DataFrame:
     return g.select("kept", "position", "sources")
 
 
+def nfc(text: Column) -> Column:
+    """Unicode normal form C, which has no built-in."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.str.normalize("NFC")
+
+    return run(text)
+
+
+def namespace_of(name: Column) -> Column:
+    """Trimmed, normal form C, lower case, normal form C; ASCII names never leave the JVM's expression. Empty names are errors."""
+    plain = F.lower(F.trim(name))
+    out = F.when(name.rlike(r"^[\x00-\x7f]*$"), plain).otherwise(nfc(F.lower(nfc(F.trim(name)))))
+    return F.when(out == "", F.raise_error(F.lit("a namespace must not be empty"))).otherwise(out)
+
+
 def canonical_id(namespace: Column, local: Column) -> Column:
     return json_hash(F.lower(F.trim(namespace)), local)
 
@@ -104,10 +190,14 @@ def fingerprint(lon: Column, lat: Column, domain: Column, kind: Column, ts: Colu
     return json_hash((cell(lon, step_deg) + dx).cast("long"), (cell(lat, step_deg) + dy).cast("long"), domain, kind, (time_bucket(ts) + dt).cast("long"))
 
 
-def neighbourhood(rows: DataFrame, spread: int = 1, buckets: int = 1, step_deg: float = 0.0009) -> DataFrame:
-    """Each row with the keys of its cell and bucket and of those around."""
-    around = F.expr(f"transform(sequence(-{spread}, {spread}), x -> x)")
-    e = rows.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).withColumn("dt", F.explode(F.expr(f"sequence(-{buckets}, {buckets})")))
+def neighbourhood(rows: DataFrame, radius_m: float = 250.0, seconds: int = 900, grid_m: float = 100.0, bucket_s: int = 300, step_deg: float = 0.0009) -> DataFrame:
+    """Each row with the keys of its cell and bucket and of those around that a match may fall in.
+
+    Cells are as many degrees wide as tall, so their reach in longitude grows towards the poles.
+    """
+    up, later = max(1, math.ceil(radius_m / grid_m)), max(1, math.ceil(seconds / bucket_s))
+    wide = F.greatest(F.lit(1), F.ceil(F.lit(radius_m) / (grid_m * F.greatest(F.abs(F.cos(F.radians("lat"))), F.lit(0.01))))).cast("int")
+    e = rows.withColumn("dx", F.explode(F.sequence(-wide, wide))).withColumn("dy", F.explode(F.expr(f"sequence(-{up}, {up})"))).withColumn("dt", F.explode(F.expr(f"sequence(-{later}, {later})")))
     x, y, t = (cell(F.col("lon"), step_deg) + F.col("dx")).cast("long"), (cell(F.col("lat"), step_deg) + F.col("dy")).cast("long"), (time_bucket(F.col("ts")) + F.col("dt")).cast("long")
     return e.withColumn("key", json_hash(x, y, F.col("domain"), F.col("type"), t)).drop("dx", "dy", "dt")
 
@@ -123,6 +213,7 @@ def matches(rows: DataFrame, radius_m: float = 250.0, seconds: int = 900) -> Dat
 
 def survivor_chain(links: DataFrame, hops: int = 16) -> DataFrame:
     """(id, survivor) along merged_into links, by doubling; cycles and chains beyond the hops end where they stand."""
+    shared_checkpoints(links.sparkSession)
     cur = links.select("id", F.col("merged_into").alias("survivor")).where("survivor is not null and survivor <> id")
     step = 1
     while step < hops:

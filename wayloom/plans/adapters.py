@@ -37,15 +37,10 @@ class Tables:
         return o.select(
             F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("source"), F.col("o_orderstatus").alias("type"), sev.alias("severity"), ts.alias("valid_from"), (ts + F.expr("interval 90 days")).alias("valid_to"),
             F.when(F.col("o_orderkey") % 3 == 0, ts + F.expr("interval 60 days")).alias("expires_at"), F.when(F.col("o_orderkey") % 10 == 0, "suspended").otherwise("active").alias("status"), F.when(F.col("o_orderkey") % 4 == 0, "crowd").otherwise("feed").alias("origin_kind"),
-            (F.col("o_orderkey") % 8 == 0).alias("routing_eligible"), F.when(F.col("o_orderkey") % 5 == 0, "public").when(F.col("o_orderkey") % 5 == 1, "restricted").alias("privacy_class"), F.col("o_totalprice").alias("price"),
+            (F.col("o_orderkey") % 8 == 0).alias("routing_eligible"), F.when(F.col("o_orderkey") % 5 == 0, "authoritative").when(F.col("o_orderkey") % 5 == 1, "restricted").alias("privacy_class"), F.col("o_totalprice").alias("price"),
             lon.alias("min_lon"), lon.alias("max_lon"), lat.alias("min_lat"), lat.alias("max_lat"), F.col("o_custkey").alias("cust"),
         )
 
-    def evidence(self) -> DataFrame:
-        kind = F.when(F.col("event_type") == "click", "report").when(F.col("event_type") == "view", "confirm").when(F.col("event_type") == "error", "negate").when(F.col("event_type") == "purchase", "external")
-        e = self.events().where("event_type <> 'signup'")
-        return e.select((F.col("event_id") % 500).alias("obs"), F.col("event_id").alias("id"), F.col("ts").alias("at"), kind.alias("kind"), F.when(kind != "external", F.col("user_id")).alias("actor"), F.when((kind == "external") & (F.col("event_id") % 2 == 0), "confirmed").when(kind == "external", "rejected").alias("outcome"))
-
 
 HIGHWAYS = ["motorway", "trunk", "primary", "secondary", "tertiary", "residential"]
 
@@ -62,7 +57,7 @@ OBS = """obs AS (SELECT o_orderkey AS id, o_orderpriority AS source, o_orderstat
   CASE left(o_orderpriority, 1) WHEN '1' THEN 4 WHEN '2' THEN 3 WHEN '3' THEN 2 WHEN '4' THEN 1 ELSE 0 END AS rank,
   o_orderdate AS valid_from, o_orderdate + INTERVAL 90 DAY AS valid_to, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 60 DAY END AS expires_at,
   CASE WHEN o_orderkey % 10 = 0 THEN 'suspended' ELSE 'active' END AS status, CASE WHEN o_orderkey % 4 = 0 THEN 'crowd' ELSE 'feed' END AS origin_kind, o_orderkey % 8 = 0 AS routing_eligible,
-  CASE o_orderkey % 5 WHEN 0 THEN 'public' WHEN 1 THEN 'restricted' END AS privacy_class, o_totalprice AS price,
+  CASE o_orderkey % 5 WHEN 0 THEN 'authoritative' WHEN 1 THEN 'restricted' END AS privacy_class, o_totalprice AS price,
   4.0::DOUBLE + (o_custkey % 1000) * 0.002::DOUBLE AS lon, 50.0::DOUBLE + (o_custkey % 777) * 0.002::DOUBLE AS lat, o_custkey AS cust, TIMESTAMP '1997-06-01 00:00:00' AS now FROM orders)"""
 LIVE = "status = 'active' AND valid_to > now AND (expires_at IS NULL OR expires_at > now)"
 

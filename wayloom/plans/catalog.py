@@ -2,35 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.functions import scalars as S
 from wayloom.operators import changes, crowd, privacy, read, resolution, segments, speed
+from wayloom.plans import exchange, feeds, places  # noqa: F401  (their queries)
 from wayloom.plans.adapters import BINS, LIVE, NOW, OBS, OBS_NOW, SAMPLES, SEGMENTS, Tables, haversine
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[Tables], DataFrame]):
-        _QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+from wayloom.plans.registry import oracle_sql, queries, query  # noqa: F401
+from wayloom.streaming import jobs
 
 
 def now():
@@ -175,13 +155,13 @@ def read_staleness(t: Tables) -> DataFrame:
     return read.with_staleness(o, status, F.lit("2000-01-01 00:00:00").cast("timestamp")).select("id", "is_stale")
 
 
-@query(f"""WITH {OBS}, x AS (SELECT *, CASE id % 4 WHEN 0 THEN 'closed' WHEN 1 THEN 'alternating' END AS state, (id % 3)::INTEGER AS aff, 3 AS tot,
+@query(f"""WITH {OBS}, x AS (SELECT *, CASE id % 4 WHEN 0 THEN 'closed' WHEN 1 THEN 'single_lane_alternating' END AS state, (id % 3)::INTEGER AS aff, 3 AS tot,
   CASE type WHEN 'O' THEN 'roadworks' WHEN 'F' THEN 'obstruction' ELSE 'other' END AS k, (id % 2400)::INTEGER AS delay FROM obs),
 y AS (SELECT *, CASE WHEN severity <> 'unknown' THEN severity WHEN state = 'closed' THEN 'high' WHEN aff > 0 THEN CASE WHEN aff >= tot THEN 'high' WHEN aff * 3 >= tot THEN 'medium' ELSE 'low' END
-  WHEN state = 'alternating' THEN 'medium' WHEN k = 'roadworks' THEN 'low' WHEN k = 'obstruction' THEN 'medium' ELSE 'unknown' END AS s FROM x)
+  WHEN state = 'single_lane_alternating' THEN 'medium' WHEN k = 'roadworks' THEN 'low' WHEN k = 'obstruction' THEN 'medium' ELSE 'unknown' END AS s FROM x)
 SELECT id, CASE WHEN delay >= 1200 AND s NOT IN ('high', 'critical') THEN 'high' ELSE s END AS severity FROM y""")
 def severity_enrich(t: Tables) -> DataFrame:
-    state = F.when(F.col("id") % 4 == 0, "closed").when(F.col("id") % 4 == 1, "alternating")
+    state = F.when(F.col("id") % 4 == 0, "closed").when(F.col("id") % 4 == 1, "single_lane_alternating")
     kind = F.when(F.col("type") == "O", "roadworks").when(F.col("type") == "F", "obstruction").otherwise("other")
     return t.obs().select("id", read.enriched_severity(F.col("severity"), state, F.col("id") % 3, F.lit(3), kind, F.col("id") % 2400).alias("severity"))
 
@@ -198,7 +178,7 @@ def decay_expiry(t: Tables) -> DataFrame:
     return t.obs().select("id", (secs("valid_from") + read.decay_seconds(kind, F.col("origin_kind"))).alias("expires_s"))
 
 
-@query(f"WITH {OBS} SELECT id FROM obs WHERE {LIVE} AND CASE WHEN privacy_class IS NULL THEN origin_kind = 'feed' ELSE privacy_class = 'public' END")
+@query(f"WITH {OBS} SELECT id FROM obs WHERE {LIVE} AND CASE WHEN privacy_class IS NULL THEN origin_kind = 'feed' ELSE privacy_class = 'authoritative' END")
 def archive_rows(t: Tables) -> DataFrame:
     return read.archive_rows(t.obs(), obs_now()).select("id")
 
@@ -299,73 +279,68 @@ def sensor_match_knn(t: Tables) -> DataFrame:
     return m.select("sensor_key", "sid", F.round("fraction", 6).alias("fraction"), F.round("offset_m", 3).alias("offset_m"))
 
 
-FLOWS = f"""{SAMPLES}, flows AS (SELECT *, CASE WHEN sensor_key % 5 = 0 THEN 'queuing' END AS declared, (sensor_key % 20)::VARCHAR AS segment_id, 120.0::DOUBLE AS free_flow_kph FROM samples)"""
-LOS = "CASE WHEN ratio IS NULL THEN 'unknown' WHEN ratio >= 0.85 THEN 'free_flow' WHEN ratio >= 0.5 THEN 'heavy' WHEN ratio >= 0.15 THEN 'queuing' ELSE 'stationary' END"
+FLOW_ROWS = f"""{SAMPLES}, flows AS (SELECT sensor_key, source, observed_at, CASE WHEN sensor_key % 4 > 0 THEN speed_kph END AS v, CASE WHEN sensor_key % 4 = 0 THEN ['free_flow', 'queuing', 'blocked', 'unknown', NULL][sensor_key // 4 % 5 + 1] WHEN sensor_key % 5 = 0 THEN 'stationary' END AS declared,
+  CASE WHEN sensor_key % 3 = 0 THEN 90.0::DOUBLE END AS own, (sensor_key % 20)::VARCHAR AS segment_id FROM samples),
+usable AS (SELECT *, coalesce(own, CASE WHEN segment_id::INTEGER % 6 > 0 THEN 120.0::DOUBLE END) AS ff FROM flows WHERE v IS NOT NULL OR coalesce(declared, 'unknown') <> 'unknown'),
+g AS (SELECT segment_id, source, avg(v) AS v, avg(ff) AS ff, count(*)::BIGINT AS n, max(observed_at) AS tm,
+  max(CASE WHEN v IS NULL THEN list_position(['free_flow', 'heavy', 'queuing', 'stationary', 'blocked'], declared) ELSE 0 END) AS r FROM usable GROUP BY 1, 2),
+obs AS (SELECT *, CASE WHEN ff > 0 THEN v / ff END AS ratio FROM g),
+observed AS (SELECT *, CASE WHEN r > 0 THEN ['free_flow', 'heavy', 'queuing', 'stationary', 'blocked'][r] WHEN ratio IS NULL THEN 'unknown' WHEN ratio >= 0.85 THEN 'free_flow' WHEN ratio >= 0.5 THEN 'heavy' WHEN ratio >= 0.15 THEN 'queuing' ELSE 'stationary' END AS los, tm + INTERVAL 15 MINUTE AS ends FROM obs)"""
 
 
 def _flows(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    s = t.samples().withColumn("declared", F.when(F.col("sensor_key") % 5 == 0, "queuing"))
-    seg = (F.col("sensor_key") % 20).cast("string").alias("segment_id")
-    b = s.select("sensor_key", seg).distinct()
-    return s, b, b.select("segment_id").distinct().withColumn("free_flow_kph", F.lit(120.0))
+    k = F.col("sensor_key")
+    level = F.element_at(F.array(*[F.lit(x) for x in ("free_flow", "queuing", "blocked", "unknown")], F.lit(None)), (F.floor(k / 4) % 5 + 1).cast("int"))
+    s = t.samples().withColumns({"declared": F.when(k % 4 == 0, level).when(k % 5 == 0, "stationary"), "own_free_flow": F.when(k % 3 == 0, 90.0), "speed_kph": F.when(k % 4 > 0, F.col("speed_kph"))})
+    b = s.select("sensor_key", (k % 20).cast("string").alias("segment_id")).distinct()
+    seg = F.col("segment_id").cast("int")
+    return s, b, b.select("segment_id").distinct().withColumn("free_flow_kph", F.when(seg % 6 > 0, 120.0))
 
 
-@query(f"""WITH {FLOWS}, g AS (SELECT segment_id, source, avg(speed_kph) AS v, count(*)::BIGINT AS n, floor(epoch(max(observed_at)))::BIGINT AS at_s, max(declared) AS d, avg(speed_kph) / 120.0 AS ratio FROM flows GROUP BY 1, 2)
-SELECT segment_id, source, round(v, 6) AS speed_kph, n, at_s, coalesce(d, {LOS}) AS los FROM g""")
+@query(f"WITH {FLOW_ROWS} SELECT segment_id, source, round(v, 6) AS speed_kph, round(ff, 6) AS free_flow_kph, n, floor(epoch(tm))::BIGINT AS at_s, floor(epoch(ends))::BIGINT AS ends_s, los FROM observed")
 def segment_observation(t: Tables) -> DataFrame:
     o = segments.segment_observations(*_flows(t))
-    return o.select("segment_id", "source", F.round("speed_kph", 6).alias("speed_kph"), "n", secs("observed_at").alias("at_s"), "los")
+    return o.select("segment_id", "source", F.round("speed_kph", 6).alias("speed_kph"), F.round("free_flow_kph", 6).alias("free_flow_kph"), "n", secs("observed_at").alias("at_s"), secs("expires_at").alias("ends_s"), "los")
 
 
-@query(f"""WITH {FLOWS}, g AS (SELECT segment_id, source, avg(speed_kph) AS v, max(observed_at) AS tm, max(declared) AS d, CASE source WHEN 'click' THEN 0 WHEN 'view' THEN 0 ELSE 1 END AS tier FROM flows GROUP BY 1, 2),
-k AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY tier, tm DESC, source) AS r FROM g), w AS (SELECT segment_id, max(d) AS d, string_agg(source, ',' ORDER BY source) AS sources FROM g GROUP BY 1),
-x AS (SELECT w.segment_id, v, source, v / 120.0 AS ratio, w.d, sources FROM w JOIN k ON k.segment_id = w.segment_id AND r = 1)
-SELECT segment_id, round(v, 6) AS speed_kph, source, coalesce(d, {LOS}) AS los, sources FROM x""")
-def segment_fuse(t: Tables) -> DataFrame:
-    s, b, seg = _flows(t)
-    o = segments.segment_observations(s, b, seg)
-    d = s.join(b, "sensor_key").groupBy("segment_id", "source").agg(F.max("declared").alias("declared"))
-    o = o.join(d, ["segment_id", "source"]).withColumns({"tier": F.when(F.col("source").isin("click", "view"), 0).otherwise(1), "ord": F.ascii("source")})
-    return segments.fuse(o).select("segment_id", F.round("speed_kph", 6).alias("speed_kph"), "source", "los", text("sources").alias("sources"))
+FUSE_AT = "2024-01-30 12:00:00"
 
 
-@query(f"""WITH e AS (SELECT s_suppkey AS sid, (s_suppkey - s_suppkey % 4) AS g, 4.0::DOUBLE + ((s_suppkey - s_suppkey % 4) % 97) * 0.01::DOUBLE + CASE WHEN s_suppkey % 4 > 0 THEN 0.01::DOUBLE ELSE 0.0::DOUBLE END AS ax,
-  50.0::DOUBLE + ((s_suppkey - s_suppkey % 4) % 89) * 0.01::DOUBLE AS ay FROM supplier),
-j AS (SELECT d.sid, a.sid AS from_id, (40 + a.sid % 50)::DOUBLE AS v, {haversine("(a.ax + 0.01::DOUBLE)", "a.ay", "d.ax", "d.ay")} AS gap FROM e d JOIN e a ON a.g % 3 = d.g % 3 AND a.sid % 4 = 0 WHERE d.sid % 4 <> 0)
-SELECT sid AS segment_id, from_id, v AS speed_kph FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY gap, from_id) AS r FROM j WHERE gap <= 50) WHERE r = 1""")
-def segment_propagate(t: Tables) -> DataFrame:
-    k = F.col("s_suppkey")
-    g = k - k % 4
-    ax = F.lit(4.0) + (g % 97) * 0.01 + F.when(k % 4 > 0, 0.01).otherwise(0.0)
-    ay = F.lit(50.0) + (g % 89) * 0.01
-    e = t.read("supplier").select(k.alias("segment_id"), ax.alias("ax"), ay.alias("ay"), (ax + 0.01).alias("bx"), ay.alias("by"), F.lit("road").alias("highway"), (g % 3).cast("string").alias("ref"), F.lit(700.0).alias("length_m"), F.lit(100.0).alias("free_flow_kph"))
-    v = e.where("segment_id % 4 = 0").select("segment_id", (F.lit(40) + F.col("segment_id") % 50).cast("double").alias("speed_kph"))
-    return segments.propagate(e, v).select("segment_id", "from_id", "speed_kph")
-
-
-# --- resolution --------------------------------------------------------------
-
-TOKENS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2))"
-
+@query(f"""WITH {FLOW_ROWS}, sides AS (SELECT segment_id, source, v, ff, ratio, los, tm, ends, CASE source WHEN 'click' THEN 0 WHEN 'view' THEN 2 WHEN 'error' THEN 9 ELSE 1 END AS tier FROM observed
+  UNION ALL SELECT segment_id, 'signal', NULL, NULL, NULL, CASE WHEN segment_id::INTEGER % 3 = 0 THEN 'heavy' ELSE 'blocked' END, tm, ends, 0 FROM observed WHERE source = 'view' AND segment_id::INTEGER % 2 = 0),
+live AS (SELECT * FROM sides WHERE ends > TIMESTAMP '{FUSE_AT}'),
+s AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY tier, tm DESC, source) AS k FROM live WHERE v IS NOT NULL),
+d AS (SELECT segment_id, max(list_position(['free_flow', 'heavy', 'queuing', 'stationary', 'blocked'], los)) FILTER (WHERE v IS NULL AND los <> 'unknown') AS r, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM live GROUP BY 1)
+SELECT d.segment_id, round(v, 6) AS speed_kph, s.source, round(ratio, 6) AS ratio, coalesce(['free_flow', 'heavy', 'queuing', 'stationary', 'blocked'][r], los) AS los, sources FROM d LEFT JOIN s ON s.segment_id = d.segment_id AND k = 1 WHERE r IS NOT NULL OR v IS NOT NULL""")
+def segment_fuse(t: Tables) -> DataFrame:
+    o = segments.segment_observations(*_flows(t))
+    tier = F.when(F.col("source") == "click", "authoritative").when(F.col("source") == "view", "peer").when(F.col("source") == "error", "other").otherwise("sensor")
+    o = o.withColumn("tier", tier).select("segment_id", "source", "speed_kph", "free_flow_kph", "ratio", "los", "observed_at", "expires_at", "tier")
+    seg = F.col("segment_id").cast("int")
+    signal = o.where((F.col("source") == "view") & (seg % 2 == 0)).withColumns({"source": F.lit("signal"), "tier": F.lit("authoritative"), "speed_kph": F.lit(None).cast("double"), "free_flow_kph": F.lit(None).cast("double"), "ratio": F.lit(None).cast("double"), "los": F.when(seg % 3 == 0, "heavy").otherwise("blocked")})
+    f = segments.fuse(o.unionByName(signal), F.lit(FUSE_AT).cast("timestamp"))
+    return f.select("segment_id", F.round("speed_kph", 6).alias("speed_kph"), "source", F.round("ratio", 6).alias("ratio"), "los", text("sources").alias("sources"))
 
-def _jaccard_pairs(parts: DataFrame) -> DataFrame:
-    x = parts.select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("b"), S.tokens(F.concat_ws(" ", "p_name", "p_type")).alias("w"))
-    a, b = x.alias("a"), x.alias("b")
-    j = a.join(b, (F.col("a.b") == F.col("b.b")) & (F.col("a.k") < F.col("b.k")))
-    return j.select(F.col("a.k").alias("i"), F.col("b.k").alias("j"), F.round(S.jaccard(F.col("a.w"), F.col("b.w")), 9).alias("overlap"))
 
+# A road of four segments each ten suppliers: ends touch starts, so speeds go on and back; every fifth runs the other way.
+ROAD = """e AS (SELECT s_suppkey AS sid, s_suppkey // 4 AS g, s_suppkey % 4 AS i, 4.0::DOUBLE + (s_suppkey // 4 % 50) * 0.1::DOUBLE + (s_suppkey % 4) * 0.01::DOUBLE AS x, 50.0::DOUBLE + (s_suppkey // 200) * 0.05::DOUBLE AS y, s_suppkey % 5 = 0 AS back FROM supplier),
+l AS (SELECT sid, i, g % 3 AS ref, y, CASE WHEN back THEN x + 0.01::DOUBLE ELSE x END AS ax, CASE WHEN back THEN x ELSE x + 0.01::DOUBLE END AS bx, CASE WHEN back THEN 270 ELSE 90 END AS deg FROM e)"""
 
-@query(f"""WITH x AS (SELECT p_partkey AS k, p_brand AS b, {TOKENS.format("p_name || ' ' || p_type")} AS w FROM part WHERE p_size <= 5)
-SELECT i.k AS i, j.k AS j, round(len(list_intersect(i.w, j.w))::DOUBLE / len(list_distinct(list_concat(i.w, j.w))), 9) AS overlap FROM x i JOIN x j ON i.b = j.b AND i.k < j.k""")
-def jaccard_pairs(t: Tables) -> DataFrame:
-    return _jaccard_pairs(t.read("part").where("p_size <= 5"))
 
+@query(f"""WITH {ROAD}, j AS (SELECT d.sid, m.sid AS from_id, (40 + m.sid % 50)::DOUBLE AS v, round(greatest(0, greatest(least(d.ax, d.bx) - greatest(m.ax, m.bx), least(m.ax, m.bx) - greatest(d.ax, d.bx))) * 111320.0::DOUBLE * cos(radians(d.y)), 0) AS near
+  FROM l d JOIN l m ON d.ref = m.ref AND d.y = m.y AND d.deg = m.deg AND m.i = 1 AND d.i <> 1 AND ({haversine('m.bx', 'm.y', 'd.ax', 'd.y')} <= 50 OR {haversine('d.bx', 'd.y', 'm.ax', 'm.y')} <= 50))
+SELECT sid AS segment_id, from_id, v AS speed_kph, round(v / 100, 6) AS ratio, CASE WHEN v / 100 >= 0.85 THEN 'free_flow' WHEN v / 100 >= 0.5 THEN 'heavy' ELSE 'queuing' END AS los FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY near, from_id) AS r FROM j) WHERE r = 1""")
+def segment_propagate(t: Tables) -> DataFrame:
+    k = F.col("s_suppkey")
+    g = F.floor(k / 4)
+    x, y = F.lit(4.0) + (g % 50) * 0.1 + (k % 4) * 0.01, F.lit(50.0) + F.floor(k / 200) * 0.05
+    back = k % 5 == 0
+    e = t.read("supplier").select(k.alias("segment_id"), F.when(back, x + 0.01).otherwise(x).alias("ax"), y.alias("ay"), F.when(back, x).otherwise(x + 0.01).alias("bx"), y.alias("by"), F.lit("road").alias("highway"), (g % 3).cast("string").alias("ref"), F.lit(700.0).alias("length_m"), F.lit(100.0).alias("free_flow_kph"))
+    v = e.where("segment_id % 4 = 1").select("segment_id", (F.lit(40) + F.col("segment_id") % 50).cast("double").alias("speed_kph"))
+    return segments.propagate(e, v).select("segment_id", "from_id", "speed_kph", F.round("ratio", 6).alias("ratio"), "los")
 
-@query(f"""WITH x AS (SELECT p_partkey AS k, p_brand AS b, {TOKENS.format("p_name || ' ' || p_type")} AS w FROM part)
-SELECT i.k AS i, j.k AS j, round(len(list_intersect(i.w, j.w))::DOUBLE / len(list_distinct(list_concat(i.w, j.w))), 9) AS overlap FROM x i JOIN x j ON i.b = j.b AND i.k < j.k""")
-def jaccard_pairs_all(t: Tables) -> DataFrame:
-    return _jaccard_pairs(t.read("part"))
 
+# --- resolution --------------------------------------------------------------
 
 PLACES = "places AS (SELECT c_custkey AS idx, 4.0::DOUBLE + (c_custkey % 31) * 0.0011::DOUBLE AS lon, 50.0::DOUBLE + (c_custkey % 29) * 0.0007::DOUBLE AS lat, c_mktsegment AS type, 's' || (c_custkey % 3) AS source FROM customer)"
 
@@ -396,7 +371,6 @@ def dedupe_edges_roads(t: Tables) -> DataFrame:
 @query()
 def dedupe_clusters(t: Tables) -> DataFrame:
     p = _places(t).withColumn("label", F.lit(None).cast("string"))
-    t.spark.sparkContext.getCheckpointDir() or t.spark.sparkContext.setCheckpointDir("/tmp/wayloom-checkpoints")
     return resolution.complete_linkage(resolution.same_source_edges(p, 120.0))
 
 
@@ -411,11 +385,16 @@ def phenomenon_fingerprint(t: Tables) -> DataFrame:
     return t.events().select("event_id", resolution.fingerprint(F.lit(4.0) + (u % 97) * 0.01, F.lit(50.0) + (u % 89) * 0.01, F.lit("roads"), F.col("event_type"), F.col("ts")).alias("fingerprint"))
 
 
-@query("SELECT event_id, 27::BIGINT AS keys FROM events")
+@query("""SELECT event_id, (2 * 3 + 1) * 7 * (2 * greatest(1, ceil(250 / (100 * cos(radians(lat)))))::BIGINT + 1) AS keys, sha256('["' || (floor((4.0::DOUBLE + (user_id % 97) * 0.01::DOUBLE) / 0.0009::DOUBLE)::BIGINT + greatest(1, ceil(250 / (100 * cos(radians(lat)))))::BIGINT) || '","' || (floor(lat / 0.0009::DOUBLE)::BIGINT - 3) || '","roads","' || event_type || '","' || (floor(floor(epoch(ts)) / 300)::BIGINT + 3) || '"]') AS corner, TRUE AS has_corner
+FROM (SELECT *, (user_id % 70)::DOUBLE AS lat FROM events)""")
 def fingerprint_neighbourhood(t: Tables) -> DataFrame:
+    """Of each event the number of keys around, and one of their corners."""
     u = F.col("user_id")
-    e = t.events().select("event_id", "ts", (F.lit(4.0) + (u % 97) * 0.01).alias("lon"), (F.lit(50.0) + (u % 89) * 0.01).alias("lat"), F.lit("roads").alias("domain"), F.col("event_type").alias("type"))
-    return resolution.neighbourhood(e).groupBy("event_id").agg(F.count_distinct("key").alias("keys"))
+    e = t.events().select("event_id", "ts", (F.lit(4.0) + (u % 97) * 0.01).alias("lon"), (u % 70).cast("double").alias("lat"), F.lit("roads").alias("domain"), F.col("event_type").alias("type"))
+    wide = F.greatest(F.lit(1), F.ceil(250 / (100 * F.cos(F.radians("lat")))))
+    corner = S.json_hash((S.cell(F.col("lon"), 0.0009) + wide).cast("long"), (S.cell(F.col("lat"), 0.0009) - 3).cast("long"), F.col("domain"), F.col("type"), (S.time_bucket(F.col("ts")) + 3).cast("long"))
+    n = resolution.neighbourhood(e).withColumn("corner", corner)
+    return n.groupBy("event_id", "corner").agg(F.count_distinct("key").alias("keys"), F.bool_or(F.col("key") == F.col("corner")).alias("has_corner"))
 
 
 def _candidates(t: Tables) -> DataFrame:
@@ -440,35 +419,22 @@ def match_candidates_250m(t: Tables) -> DataFrame:
 w AS (SELECT id, up AS x FROM l WHERE up IS NOT NULL AND up > 0 UNION ALL SELECT w.id, l.up FROM w JOIN l ON l.id = w.x WHERE l.up IS NOT NULL AND l.up > 0)
 SELECT id, min(x) AS survivor FROM w GROUP BY 1""")
 def survivor_chain(t: Tables) -> DataFrame:
-    t.spark.sparkContext.getCheckpointDir() or t.spark.sparkContext.setCheckpointDir("/tmp/wayloom-checkpoints")
     k = F.col("c_custkey")
     return resolution.survivor_chain(t.read("customer").select(k.alias("id"), F.when((k % 16 != 0) & (k > 1), k - 1).alias("merged_into")))
 
 
 # --- crowd -------------------------------------------------------------------
 
-EVIDENCE = """e AS (SELECT event_id % 500 AS obs, event_id AS id, epoch(ts) AS tm, CASE event_type WHEN 'click' THEN 'report' WHEN 'view' THEN 'confirm' WHEN 'error' THEN 'negate' ELSE 'external' END AS kind,
-  CASE WHEN event_type <> 'purchase' THEN user_id END AS actor, CASE WHEN event_type = 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'confirmed' ELSE 'rejected' END END AS outcome FROM events WHERE event_type <> 'signup'),
-f AS (SELECT obs, arg_min(id, (tm, id)) AS fid, arg_min(actor, (tm, id)) AS owner FROM e WHERE kind = 'report' GROUP BY 1),
-g AS (SELECT e.obs, count(DISTINCT actor) FILTER (WHERE actor <> owner AND (kind = 'confirm' OR (kind = 'report' AND id <> fid))) AS yes, count(DISTINCT actor) FILTER (WHERE kind = 'negate' AND actor <> owner) AS no,
-  min(tm) FILTER (WHERE kind = 'negate' AND actor = owner) AS gone, arg_max(outcome, (tm, id)) FILTER (WHERE kind = 'external') AS ext FROM e JOIN f ON f.obs = e.obs GROUP BY 1)"""
-
-
-@query(f"""WITH {EVIDENCE} SELECT obs, CASE WHEN ext = 'confirmed' THEN 'expired' WHEN ext = 'rejected' OR gone IS NOT NULL OR (no >= 2 AND no > yes) THEN 'negated' ELSE 'expired' END AS state, yes::BIGINT AS confirmers, no::BIGINT AS negators FROM g""")
-def evidence_state(t: Tables) -> DataFrame:
-    return crowd.evidence_state(t.evidence(), now()).select("obs", "state", "confirmers", "negators")
-
-
 @query()
 def reliability_lower_bound(t: Tables) -> DataFrame:
     g = t.events().groupBy("user_id").agg((F.count_if(F.col("event_type") == "view") + 1).alias("alpha"), (F.count_if(F.col("event_type") == "error") + 1).alias("beta"))
     return g.select("user_id", F.round(crowd.lower_bound(F.col("alpha").cast("double"), F.col("beta").cast("double")), 6).alias("lower_bound"))
 
 
-@query("""WITH d AS (SELECT DISTINCT user_id AS a, event_type || '/' || strftime(ts, '%Y-%m-%d') AS x FROM events) SELECT l.a AS first, r.a AS second, count(*)::BIGINT AS shared FROM d l JOIN d r ON l.x = r.x AND l.a < r.a GROUP BY 1, 2 HAVING count(*) >= 20""")
+@query("""WITH d AS (SELECT DISTINCT user_id AS a, event_type || '/' || strftime(ts, '%Y-%m-%d %H') AS x FROM events) SELECT l.a AS first, r.a AS second, count(*)::BIGINT AS shared FROM d l JOIN d r ON l.x = r.x AND l.a < r.a GROUP BY 1, 2 HAVING count(*) >= 2""")
 def coreporting_pairs(t: Tables) -> DataFrame:
-    r = t.events().select(F.col("user_id").alias("actor"), F.concat_ws("/", "event_type", F.date_format("ts", "yyyy-MM-dd")).alias("thing"))
-    return crowd.coreporting(r, 20)
+    r = t.events().select(F.col("user_id").alias("actor"), F.concat_ws("/", "event_type", F.date_format("ts", "yyyy-MM-dd HH")).alias("thing"))
+    return crowd.coreporting(r, 2)
 
 
 @query("SELECT event_id, (count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86399999999 MICROSECOND PRECEDING AND CURRENT ROW) - 1)::BIGINT AS recent FROM events")
@@ -495,7 +461,7 @@ def flag_queue_page(t: Tables) -> DataFrame:
 
 
 WINDOWS = """p AS (SELECT user_id % 10 AS peer, floor(floor(epoch(ts)) / 3600)::BIGINT AS hour, event_type, count(*) AS n, sum(value) AS s FROM events GROUP BY ALL),
-w AS (SELECT peer, hour, sum(n) / 60 AS rate, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS entropy, sum(s) / sum(n) AS confidence FROM p GROUP BY 1, 2)"""
+w AS (SELECT peer, hour, sum(n) / 60 AS rate, CASE WHEN count(*) > 1 THEN log2(sum(n)) - sum(n * log2(n)) / sum(n) ELSE 0 END AS entropy, sum(s) / sum(n) AS confidence FROM p GROUP BY 1, 2)"""
 
 
 def _windows(t: Tables) -> DataFrame:
@@ -507,10 +473,12 @@ def peer_windows(t: Tables) -> DataFrame:
     return _windows(t).select("peer", "hour", F.round("rate", 6).alias("rate"), F.round(F.abs("entropy"), 6).alias("entropy"), F.round("confidence", 4).alias("confidence"))
 
 
-@query(f"""WITH {WINDOWS}, b AS (SELECT peer, avg(rate) AS r, avg(entropy) AS e FROM w GROUP BY 1)
-SELECT w.peer, hour, rate >= 10 * r AS burst, entropy <= 0.4 * e AS narrow FROM w JOIN b ON b.peer = w.peer""")
+@query(f"""WITH {WINDOWS}, v AS (SELECT peer, hour, rate, CASE WHEN peer = 3 THEN 0 ELSE entropy END AS entropy, confidence / 1000 AS confidence FROM w), b AS (SELECT peer, avg(rate) AS r, avg(entropy) AS e, avg(confidence) AS c FROM v GROUP BY 1)
+SELECT v.peer, hour, rate >= 10 * r AS burst, e > 0 AND entropy <= 0.4 * e AS narrow, abs(confidence - c) >= 0.3 AS shift FROM v JOIN b ON b.peer = v.peer""")
 def peer_anomaly(t: Tables) -> DataFrame:
-    return crowd.peer_anomalies(_windows(t)).select("peer", "hour", "burst", "narrow")
+    """One peer has a single type of event, so no entropy to fall from."""
+    w = _windows(t).withColumns({"entropy": F.when(F.col("peer") == 3, 0.0).otherwise(F.col("entropy")), "confidence": F.col("confidence") / 1000})
+    return crowd.peer_anomalies(w).select("peer", "hour", "burst", "narrow", "shift")
 
 
 @query("SELECT user_id % 10 AS peer, round(0.5 * avg((event_type <> 'error')::INTEGER) + 0.5 * avg((value < 300)::INTEGER) FILTER (WHERE event_type <> 'error'), 9) AS health FROM events GROUP BY 1")
@@ -552,8 +520,6 @@ def instant_coercion(t: Tables) -> DataFrame:
 
 def _stream(t: Tables) -> DataFrame:
     """The events table as a stream."""
-    from wayloom.streaming import jobs
-
     path = f"{t.sf_dir}/event[s].parquet"  # a pattern, as a stream's path is else a folder
     s = jobs.stream_parquet(t.spark, path, t.read("events").schema)
     return s.where("value > 0 and value < 250").select(F.col("user_id").alias("sensor_key"), F.col("ts").cast("timestamp").alias("observed_at"), F.col("value").alias("speed_kph"), "event_id")
@@ -564,15 +530,11 @@ CLOSED = "(SELECT max(ts) - INTERVAL 6 HOUR FROM events WHERE value > 0 AND valu
 
 @query(f"""WITH {BINS} SELECT sensor_key, epoch(hour)::BIGINT AS hour, bin, c FROM bins WHERE hour + INTERVAL 1 HOUR <= {CLOSED}""")
 def stream_tumbling_counts(t: Tables) -> DataFrame:
-    from wayloom.streaming import jobs
-
-    got = jobs.run_to_table(jobs.hourly_bins(_stream(t)), f"tumbling_{abs(hash(t.sf_dir)) % 10**9}")
+    got = jobs.run_to_table(jobs.hourly_bins(_stream(t)), "tumbling")
     return got.select("sensor_key", secs("hour").alias("hour"), "bin", "c")
 
 
 @query("SELECT sensor_key, count(*)::BIGINT AS n FROM (SELECT DISTINCT user_id AS sensor_key, ts FROM events WHERE value > 0 AND value < 250) GROUP BY 1")
 def stream_dedup(t: Tables) -> DataFrame:
-    from wayloom.streaming import jobs
-
-    got = jobs.run_to_table(jobs.first_seen(_stream(t), ["sensor_key", "observed_at"]), f"dedup_{abs(hash(t.sf_dir)) % 10**9}")
+    got = jobs.run_to_table(jobs.first_seen(_stream(t), ["sensor_key", "observed_at"]), "dedup")
     return got.groupBy("sensor_key").agg(F.count("*").alias("n"))

@@ -59,7 +59,7 @@ def open511(raw: DataFrame, source: str) -> DataFrame:
     f = items(raw, "$.events")
     lon, lat = first_position("doc", "$.geography.coordinates")
     states = F.from_json(at("doc", "$.roads"), "array<struct<name:string,state:string,direction:string>>")
-    worst = F.when(F.exists(states, lambda r: r.state == "CLOSED"), "closed").when(F.exists(states, lambda r: r.state == "SOME_LANES_CLOSED"), "some_lanes_closed").when(F.exists(states, lambda r: r.state == "SINGLE_LANE_ALTERNATING"), "alternating")
+    worst = F.when(F.exists(states, lambda r: r.state == "CLOSED"), "closed").when(F.exists(states, lambda r: r.state == "SOME_LANES_CLOSED"), "some_lanes_closed").when(F.exists(states, lambda r: r.state == "SINGLE_LANE_ALTERNATING"), "single_lane_alternating")
     directions = F.array_distinct(F.transform(states, lambda r: r.direction))
     interval = F.split(F.get_json_object("doc", "$.schedule.intervals[0]"), "/")
     return f.select(local_id(source, at("doc", "$.id"), F.col("doc")).alias("id"), F.lit(source).alias("source"), F.lower(at("doc", "$.event_type")).alias("type"), F.lower(at("doc", "$.severity")).alias("severity"), worst.alias("road_state"), F.when(F.size(directions) == 1, directions[0]).alias("direction"), F.try_element_at(interval, F.lit(1)).alias("valid_from"), F.try_element_at(interval, F.lit(2)).alias("valid_to"), at("doc", "$.headline").alias("headline"), lon.alias("lon"), lat.alias("lat")).where("lon is not null").dropDuplicates(["id"])
@@ -72,7 +72,7 @@ def wzdx(raw: DataFrame, source: str) -> DataFrame:
     core = lambda k: F.coalesce(at("doc", f"$.properties.core_details.{k}"), F.when(at("doc", "$.properties.core_details").isNull(), at("doc", f"$.properties.{k}")))
     lon, lat = first_position("doc", "$.geometry.coordinates")
     impact = at("doc", "$.properties.vehicle_impact")
-    state = F.when(impact == "all-lanes-closed", "closed").when(impact.isin("some-lanes-closed", "some-lanes-closed-merge-left", "some-lanes-closed-merge-right"), "some_lanes_closed").when(impact == "alternating-one-way", "alternating")
+    state = F.when(impact == "all-lanes-closed", "closed").when(impact.isin("some-lanes-closed", "some-lanes-closed-merge-left", "some-lanes-closed-merge-right"), "some_lanes_closed").when(impact == "alternating-one-way", "single_lane_alternating")
     status = F.when(at("doc", "$.properties.event_status") == "completed", "archived").otherwise("active")
     return f.select(local_id(source, F.concat_ws("-", core("data_source_id"), F.coalesce(at("doc", "$.id"), core("road_event_id"))), F.col("doc")).alias("id"), F.lit(source).alias("source"), core("event_type").alias("type"), status.alias("status"), state.alias("road_state"), at("doc", "$.properties.start_date").alias("valid_from"), at("doc", "$.properties.end_date").alias("valid_to"), lon.alias("lon"), lat.alias("lat")).where("lon is not null").dropDuplicates(["id"])
 
