@@ -527,6 +527,42 @@ def test_jaccard_components(spark, monkeypatch, sets, local):
     assert got == brute_components(rows, 4, 85)
 
 
+@pytest.mark.parametrize("wide", [1, 3])
+def test_jaccard_in_two_rounds(spark, monkeypatch, wide):
+    """More parts of signatures than a shuffle may have partitions."""
+    monkeypatch.setattr(ngram_join, "WIDE", wide)
+    monkeypatch.setattr(ngram_join, "PER_PARTITION", 300)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 40)
+    rows = near_copies(12)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs(spark, rows)).collect()}
+    assert got == brute_components(rows, 4, 85)
+
+
+def test_repacked_signatures_meet():
+    rng = np.random.default_rng(13)
+    names = rng.permutation(4000)[:400]
+    held = {int(n): rng.integers(0, 3000, 20).astype(np.uint64) << np.uint64(16) for n in names}
+    first = [b for part in (0, 1) for b in ngram_join.packs({n: s for n, s in held.items() if n % 2 == part}, 3)]
+    second = [b for p in range(3) for b in ngram_join.repack(3, 5)([b.filter([x == p for x in b.column("p").to_pylist()]) for b in first])]
+    forest = common.Forest()
+    by_part = {}
+    for b in second:
+        for r in b.to_pylist():
+            if r["kind"] == "edge":
+                for x, y in zip(np.frombuffer(r["sigs"], "<i8").tolist(), np.frombuffer(r["low"], "<i8").tolist()):
+                    forest.join(x, y)
+            else:
+                by_part.setdefault(r["p"], []).append((r["sigs"], r["low"], r["idx"], r["names"]))
+    for packs in by_part.values():
+        ngram_join.shared_runs(*ngram_join.unpacked(packs), forest)
+    want = common.Forest()
+    owner = {}
+    for n, sigs in held.items():
+        for x in sigs.tolist():
+            want.join(n, owner.setdefault(x, n))
+    assert {n: forest.root(n) for n in held} == {n: want.root(n) for n in held} and max(by_part) > 3
+
+
 def test_jaccard_edge_cases(spark):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs(spark, EDGES)).collect()]
     assert len(got) == len(EDGES) and (None, 3, 1) in got and got.count((4, 1, 4)) == 2 and (2, 0, 2) in got

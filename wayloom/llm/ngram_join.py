@@ -45,6 +45,8 @@ MIX1, MIX2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 ODD = U(0x9E3779B97F4A7C15)
 #: Signatures a task packs together, and those one reducing partition should get.
 CHUNK, PER_PARTITION = 400_000, 1_000_000
+#: Partitions of a shuffle of packs at most; more parts of signatures than that take two rounds.
+WIDE = 4096
 #: (sub-parts of a part, d) for all sets and for the members of large groups; share of parts above the least number.
 COARSE, FINE, SLACK = (3, 1), (6, 3), 0.3
 #: Sets and features in one block of a group.
@@ -173,24 +175,31 @@ def batch_of(**cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols else pa.nulls(size, t) for c, t in FIELDS.items()], names=[*FIELDS])
 
 
+def scattered(sig: np.ndarray) -> np.ndarray:
+    return mix(sig ^ MIX1)
+
+
 def packs(held: dict[int, np.ndarray], parts: int):
     """Batches for the reducers from the signatures of some classes: packs by partition, and the pairs already found."""
-    names = np.fromiter(held, np.int64, len(held))
-    sig = np.concatenate([*held.values()]) if held else np.empty(0, U)
-    member = np.repeat(names, [len(x) for x in held.values()])
+    sig = (np.concatenate([*held.values()]) if held else np.empty(0, U)) >> U(16)
+    member = np.repeat(np.fromiter(held, np.int64, len(held)), [len(x) for x in held.values()])
+    yield from dealt(sig, member, lambda s: (scattered(s) % U(parts)).astype(np.int64), parts)
+
+
+def dealt(sig: np.ndarray, member: np.ndarray, part_of, parts: int):
+    """Packs by part of signatures (48 bits) and their classes, one class of each signature, and pairs of the classes that share one."""
     forest = Forest()
     sig, member = shared_runs(sig, member, forest)
-    to = (mix(sig ^ MIX1) % U(parts)).astype(np.int64)
+    to = part_of(sig)
     order = np.argsort(to, kind="stable")
     sig, member, to = sig[order], member[order], to[order]
-    cuts = np.searchsorted(to, np.arange(parts + 1))
+    cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])) if len(to) else np.zeros(1, int)
     out: list[list] = [[], [], [], [], []]
-    for p in range(parts):
-        lo, hi = cuts[p], cuts[p + 1]
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         for at in range(lo, hi, 60_000):  # numbers of classes have 16 bits
             s, m = sig[at : min(hi, at + 60_000)], member[at : min(hi, at + 60_000)]
             known, idx = np.unique(m, return_inverse=True)
-            for c, v in zip(out, (p, (s >> U(32)).astype("<u4").tobytes(), ((s >> U(16)) & U(0xFFFF)).astype("<u2").tobytes(), idx.astype("<u2").tobytes(), known.astype("<i8").tobytes())):
+            for c, v in zip(out, (int(to[lo]), (s >> U(16)).astype("<u4").tobytes(), (s & U(0xFFFF)).astype("<u2").tobytes(), idx.astype("<u2").tobytes(), known.astype("<i8").tobytes())):
                 c.append(v)
     if out[0]:
         yield batch_of(kind=["sig"] * len(out[0]), p=out[0], sigs=out[1], low=out[2], idx=out[3], names=out[4])
@@ -199,15 +208,44 @@ def packs(held: dict[int, np.ndarray], parts: int):
         yield batch_of(kind=["edge"], p=[abs(int(a[0])) % parts], sigs=[a.astype("<i8").tobytes()], low=[b.astype("<i8").tobytes()])
 
 
+def unpacked(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures and classes of packs."""
+    sig = np.concatenate([(np.frombuffer(s, "<u4").astype(U) << U(16)) | np.frombuffer(w, "<u2").astype(U) for s, w, _, _ in held])
+    return sig, np.concatenate([np.frombuffer(names, "<i8")[np.frombuffer(i, "<u2")] for _, _, i, names in held])
+
+
+def repack(coarse: int, fine: int):
+    """The first of two rounds: packs of a coarse part, a bounded number at a time, dealt to its fine parts; other rows as they are."""
+
+    def part_of(sig: np.ndarray) -> np.ndarray:
+        h = scattered(sig)
+        return (h % U(coarse) + U(coarse) * (h // U(coarse) % U(fine))).astype(np.int64)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            kinds = np.array(batch.column("kind").to_pylist())
+            if len(rest := np.flatnonzero(kinds != "sig")):
+                yield batch.take(pa.array(rest)).select([*FIELDS])
+            for i in np.flatnonzero(kinds == "sig").tolist():
+                held.append(tuple(batch.column(c)[i].as_py() for c in ("sigs", "low", "idx", "names")))
+                size += len(held[-1][0]) // 4
+                if size >= 4 * CHUNK:
+                    yield from dealt(*unpacked(held), part_of, coarse * fine)
+                    held, size = [], 0
+        if held:
+            yield from dealt(*unpacked(held), part_of, coarse * fine)
+
+    return run
+
+
 def reduce_packs(batches):
     """Rows of other kinds as they are; of a partition's packs, pairs that join the classes which share signatures."""
     at, held = None, []
 
     def finish():
-        sig = np.concatenate([(np.frombuffer(s, "<u4").astype(U) << U(16)) | np.frombuffer(w, "<u2").astype(U) for s, w, _, _ in held])
-        member = np.concatenate([np.frombuffer(names, "<i8")[np.frombuffer(i, "<u2")] for _, _, i, names in held])
         forest = Forest()
-        shared_runs(sig, member, forest)
+        shared_runs(*unpacked(held), forest)
         a, b = forest.edges()
         return [batch_of(kind=["edge"], p=[0], sigs=[a.astype("<i8").tobytes()], low=[b.astype("<i8").tobytes()])] if len(a) else []
 
@@ -228,8 +266,20 @@ def reduce_packs(batches):
 
 
 def found_by(emitted: DataFrame, parts: int, path: str) -> DataFrame:
-    """Reduce packs; rows of documents and packs of pairs, written below ``path``."""
-    found = emitted.repartition(parts, "p").sortWithinPartitions("p", "kind").mapInArrow(give_back(reduce_packs), SCHEMA)
+    """Reduce packs, dealt to at most WIDE coarse parts; rows of documents and packs of pairs, written below ``path``.
+
+    A reducer holds the packs of one part at a time, about PER_PARTITION
+    signatures. Parts beyond WIDE come from a round that cuts each coarse part
+    anew, so neither shuffles nor the rows of a pack grow with maps times parts.
+    """
+    coarse, fine = min(parts, WIDE), -(-parts // WIDE)
+
+    def by_part(df: DataFrame) -> DataFrame:
+        return df.repartition(coarse, "p").sortWithinPartitions("p", "kind")
+
+    if fine > 1:
+        emitted = by_part(emitted).mapInArrow(give_back(repack(coarse, fine)), SCHEMA)
+    found = by_part(emitted).mapInArrow(give_back(reduce_packs), SCHEMA)
     found.select("kind", "doc_id", "n", "h", F.col("sigs").alias("a"), F.col("low").alias("b")).write.partitionBy("kind").parquet(path)
     return emitted.sparkSession.read.schema("doc_id long, n long, h long, a binary, b binary, kind string").parquet(path)
 
@@ -259,7 +309,8 @@ def candidates(docs: DataFrame, n: int, percent: int, path: str) -> tuple[DataFr
     One pass over the texts and one shuffle. Signatures are packed, 8 bytes each:
     48 bits of the signature and a number into the pack's list of classes. A
     pack keeps one member of a signature, so what a reducer gets of a very
-    common signature is bounded by the number of packs, not of documents.
+    common signature is bounded by the number of packs, not of documents. Beyond
+    WIDE parts there is one more shuffle of packs.
     """
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length("t").cast("long"))).first()[0] or 0
@@ -282,11 +333,11 @@ def candidates(docs: DataFrame, n: int, percent: int, path: str) -> tuple[DataFr
                     size += len(held[h])
             yield batch_of(kind=["doc"] * len(ids), p=[(i * 31 + (k or 0)) % parts for i, k in enumerate(ids)], doc_id=ids, n=sizes, h=names)
             if size >= CHUNK:
-                yield from packs(held, parts)
+                yield from packs(held, min(parts, WIDE))
                 held.clear()
                 size = 0
         if held:
-            yield from packs(held, parts)
+            yield from packs(held, min(parts, WIDE))
 
     back = found_by(docs.mapInArrow(give_back(emit), SCHEMA), parts, path)
     return back.where("kind = 'doc'").select("doc_id", "n", "h"), pairs_of(back)
@@ -305,11 +356,11 @@ def finer(members: DataFrame, features: int, percent: int, path: str) -> DataFra
                 held[h] = signatures(np.frombuffer(f, "<u8"), bands, FINE)
                 size += len(held[h])
                 if size >= CHUNK:
-                    yield from packs(held, parts)
+                    yield from packs(held, min(parts, WIDE))
                     held.clear()
                     size = 0
         if held:
-            yield from packs(held, parts)
+            yield from packs(held, min(parts, WIDE))
 
     return pairs_of(found_by(members.select("h", "f").mapInArrow(give_back(emit), SCHEMA), parts, path))
 
