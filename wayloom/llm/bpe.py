@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from wayloom.llm.common import give_back
 
 #: Bytes of pieces and of fragments that a worker remembers (of about ENTRY_BYTES each besides text and ids), over all its tasks.
-PIECE_BYTES, FRAGMENT_BYTES, ENTRY_BYTES = 20_000_000, 10_000_000, 200
+PIECE_BYTES, FRAGMENT_BYTES, ENTRY_BYTES = 44_000_000, 22_000_000, 200
 #: Longer pieces are not remembered.
 CACHE_CHARS = 64
 
