@@ -273,6 +273,43 @@ def test_templates_and_schedules(spark):
     assert [value(spark, scalars.same_road(F.lit(a), F.lit(b))) for a, b in (("N A-12", "a12"), ("A12", "A1"), ("", "A1"))] == [True, False, False]
 
 
+def test_landing(spark):
+    import gzip
+
+    from wayloom.sources import landing
+
+    def get(url, headers):
+        if headers.get("If-None-Match") == "e1":
+            return 304, {}, []
+        return (500, {}, []) if "bad" in url else (200, {"ETag": "e1"}, [gzip.compress(b"x" * 1000)])
+
+    first = landing.fetch(get, "u")
+    assert (first.body, first.etag, first.unchanged) == (b"x" * 1000, "e1", False) and landing.fetch(get, "u", "e1").unchanged
+    with pytest.raises(landing.TooLarge):
+        landing.fetch(get, "u", most=999)
+    server = lambda url, headers: (200, {}, [url.encode()]) if "bad" not in url else (503, {}, [])
+    parts = landing.fan_out(spark, server, ["a", "bad", "c"])
+    assert landing.failures(parts) == (1, 3) and {r.url: r.value for r in parts.collect()} == {"a": "a", "bad": None, "c": "c"}
+    rows = list(range(25))
+    assert [len(p) for p in landing.pages(lambda at: rows[at : at + 10], 10)] == [10, 10, 5]
+    assert landing.catalog_or_snapshot(lambda: 1 / 0, ["s"]) == (["s"], True)
+    reads = iter([spark.range(1)])
+    side = landing.Cached(lambda: next(reads))
+    assert side.get(0).count() == 1 and side.get(99_999).count() == 1
+
+
+def test_download_checks_its_sum(tmp_path):
+    import hashlib
+
+    from wayloom.sources import landing
+
+    get = lambda url, headers: (200, {}, [b"ab", b"c"])
+    sum_ = hashlib.md5(b"abc").hexdigest()
+    assert landing.download(get, "u", lambda p: open(p, "wb"), str(tmp_path / "f"), f"{sum_}  f") == sum_
+    with pytest.raises(ValueError):
+        landing.download(get, "u", lambda p: open(p, "wb"), str(tmp_path / "f"), "0")
+
+
 def test_queries_load_without_the_training_data_packages():
     code = "import sys; sys.modules['public_tokenizers'] = None; sys.modules['xxhash'] = None; import __spark_entry__ as e; assert len(e.queries()) > 100 and not any(k.startswith('op') and k[2].isdigit() for k in e.queries()); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)

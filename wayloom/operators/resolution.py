@@ -69,6 +69,23 @@ def same_source_edges(rows: DataFrame, radius_m: float = 60.0, overlap: float =
     return j.where(ok).select("i", "j", "metres")
 
 
+def deduplicated(rows: DataFrame, radius_m: float = 60.0, overlap: float = 0.5) -> DataFrame:
+    """Of rows (idx, lon, lat, type, source, label, updated_at) of one source that say the same, the newest, the first of equals."""
+    clusters = complete_linkage(same_source_edges(rows, radius_m, overlap))
+    j = rows.join(clusters, "idx", "left").withColumn("cluster", F.coalesce("cluster", "idx"))
+    best = Window.partitionBy("cluster").orderBy(F.desc("updated_at"), "idx")
+    return j.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r", "cluster")
+
+
+def zoned(rows: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Rows (lon, lat) with the time zone of the first region box (ord, west, south, east, north, tz) that holds them, or none. Boxes meet rows in whole degrees."""
+    span = boxes.withColumn("cx", F.explode(F.sequence(F.floor("west"), F.floor("east")))).withColumn("cy", F.explode(F.sequence(F.floor("south"), F.floor("north"))))
+    at = rows.withColumns({"cx": F.floor("lon"), "cy": F.floor("lat")})
+    per = span.groupBy("cx", "cy").agg(F.array_sort(F.collect_list(F.struct("ord", "west", "south", "east", "north", "tz"))).alias("boxes"))
+    inside = F.filter("boxes", lambda b: (F.col("lon") >= b.west) & (F.col("lon") < b.east) & (F.col("lat") >= b.south) & (F.col("lat") < b.north))
+    return at.join(per, ["cx", "cy"], "left").withColumn("tz", F.try_element_at(inside, F.lit(1)).tz).drop("boxes", "cx", "cy")
+
+
 def cross_source_edges(rows: DataFrame, near_m: float = 75.0, road_m: float = 250.0, strict: bool = False) -> DataFrame:
     """Pairs of different sources: near, or farther on the same road; roads that conflict never.
 

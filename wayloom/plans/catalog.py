@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayloom.functions import scalars as S
 from wayloom.operators import changes, crowd, privacy, read, resolution, segments, speed
-from wayloom.plans import exchange, feeds, places  # noqa: F401  (their queries)
+from wayloom.plans import exchange, feeds, places, upkeep  # noqa: F401  (their queries)
 from wayloom.plans.adapters import BINS, LIVE, NOW, OBS, OBS_NOW, SAMPLES, SEGMENTS, Tables, haversine
 from wayloom.plans.registry import oracle_sql, queries, query  # noqa: F401
 from wayloom.streaming import jobs

@@ -58,11 +58,12 @@ def mapped_geojson(raw: DataFrame, source: str, fields: dict[str, str], include:
 def open511(raw: DataFrame, source: str) -> DataFrame:
     f = items(raw, "$.events")
     lon, lat = first_position("doc", "$.geography.coordinates")
-    states = F.from_json(at("doc", "$.roads"), "array<struct<name:string,state:string,direction:string>>")
+    states = F.from_json(at("doc", "$.roads"), "array<struct<name:string,state:string,direction:string,lanes_closed:int,lanes_open:int>>")
+    added = lambda k: F.when(F.exists(states, lambda r: r[k].isNotNull()), F.aggregate(states, F.lit(0), lambda s, r: s + F.coalesce(r[k], F.lit(0))))
     worst = F.when(F.exists(states, lambda r: r.state == "CLOSED"), "closed").when(F.exists(states, lambda r: r.state == "SOME_LANES_CLOSED"), "some_lanes_closed").when(F.exists(states, lambda r: r.state == "SINGLE_LANE_ALTERNATING"), "single_lane_alternating")
     directions = F.array_distinct(F.transform(states, lambda r: r.direction))
     interval = F.split(F.get_json_object("doc", "$.schedule.intervals[0]"), "/")
-    return f.select(local_id(source, at("doc", "$.id"), F.col("doc")).alias("id"), F.lit(source).alias("source"), F.lower(at("doc", "$.event_type")).alias("type"), F.lower(at("doc", "$.severity")).alias("severity"), worst.alias("road_state"), F.when(F.size(directions) == 1, directions[0]).alias("direction"), F.try_element_at(interval, F.lit(1)).alias("valid_from"), F.try_element_at(interval, F.lit(2)).alias("valid_to"), at("doc", "$.headline").alias("headline"), lon.alias("lon"), lat.alias("lat")).where("lon is not null").dropDuplicates(["id"])
+    return f.select(local_id(source, at("doc", "$.id"), F.col("doc")).alias("id"), F.lit(source).alias("source"), F.lower(at("doc", "$.event_type")).alias("type"), F.lower(at("doc", "$.severity")).alias("severity"), worst.alias("road_state"), added("lanes_closed").alias("lanes_closed"), added("lanes_open").alias("lanes_open"), F.when(F.size(directions) == 1, directions[0]).alias("direction"), F.try_element_at(interval, F.lit(1)).alias("valid_from"), F.try_element_at(interval, F.lit(2)).alias("valid_to"), at("doc", "$.headline").alias("headline"), lon.alias("lon"), lat.alias("lat")).where("lon is not null").dropDuplicates(["id"])
 
 
 @parser("wzdx")
