@@ -273,6 +273,28 @@ def test_templates_and_schedules(spark):
     assert [value(spark, scalars.same_road(F.lit(a), F.lit(b))) for a, b in (("N A-12", "a12"), ("A12", "A1"), ("", "A1"))] == [True, False, False]
 
 
+def test_openlr_lines(spark):
+    import base64
+
+    from wayloom.sources import openlr
+
+    known = "CwRbWyNG9RpsCQCb/jsbtAT/6/+jK1lE"  # the published example
+    points, a, b = openlr.decode(base64.b64decode(known))
+    for p, (lon, lat) in zip(points, [(6.12683, 49.60851), (6.12838, 49.60398), (6.12817, 49.60305)], strict=True):
+        assert abs(p.lon - lon) < 3e-5 and abs(p.lat - lat) < 3e-5
+    assert openlr.encode(points, a, b) == base64.b64decode(known)
+    pick = random.Random(21)
+    for _ in range(300):
+        x, y = pick.uniform(-170, 170), pick.uniform(-80, 80)
+        line = [openlr.Point(x + i * 0.01, y - i * 0.02, pick.randrange(8), pick.randrange(8), pick.uniform(0, 360), pick.randrange(8), pick.uniform(0, 14000)) for i in range(pick.randint(2, 5))]
+        a, b = pick.choice([0, 0.3]), pick.choice([0, 0.9])
+        once = openlr.encode(line, a, b)
+        assert openlr.encode(*openlr.decode(once)) == once
+    df = spark.createDataFrame([(1, known), (2, "????"), (3, None), (4, known)], "id long, openlr string")
+    got = openlr.resolved(df, openlr.straight).collect()
+    assert sorted(r.id for r in got) == [1, 4] and len(got[0].points) == 3
+
+
 def test_landing(spark):
     import gzip
 

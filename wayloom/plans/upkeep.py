@@ -258,6 +258,46 @@ def events_trafikverket(t: Tables) -> DataFrame:
     return first_point(e.withColumn("vertices", F.size("points"))).select("id", "type", "severity", "vertices", "lon", "lat")
 
 
+@query(f"SELECT 'ny:' || s_suppkey AS id, CASE WHEN s_suppkey % 5 = 0 THEN 'road_closure' WHEN s_suppkey % 2 = 0 THEN 'accident' ELSE 'roadworks' END AS type, CASE s_suppkey % 3 WHEN 0 THEN 'critical' WHEN 1 THEN 'low' ELSE 'unknown' END AS severity, CASE s_suppkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END::INTEGER AS vertices, CASE WHEN s_suppkey % 4 = 0 THEN -120.2::DOUBLE ELSE (4 + s_suppkey % 90) + 0.5::DOUBLE END AS lon FROM supplier WHERE s_suppkey % 4 < 3")
+def events_ibi511(t: Tables) -> DataFrame:
+    x, y = txy()
+    place = F.when(key() % 4 == 0, F.lit('"EncodedPolyline":"_p~iF~ps|U_ulLnnqC_mqNvxq`@"')).when(key() % 4 == 3, F.lit('"Latitude":null')).otherwise(F.concat(F.format_string('"Latitude":%s,"Longitude":%s', y, x), F.when(key() % 4 == 1, F.lit(',"LatitudeSecondary":1,"LongitudeSecondary":2')).otherwise("")))
+    s = F.concat(F.format_string('{"ID":%d,"EventType":"%s","Severity":"%s","IsFullClosure":%s,', key(), F.when(key() % 2 == 0, "accidentsAndIncidents").otherwise("Road Work"), F.when(key() % 3 == 0, "Severe").when(key() % 3 == 1, "Minor").otherwise("?"), F.when(key() % 5 == 0, "true").otherwise("false")), place, F.lit("}"))
+    e = events.ibi511(documents(t.read("supplier"), s, "[", "]"), "ny")
+    return first_point(e.withColumn("vertices", F.size("points"))).select("id", "type", "severity", "vertices", "lon")
+
+
+@query(f"SELECT 'vic:' || s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'weather' WHEN 1 THEN 'hazard' ELSE 'other' END AS type, s_suppkey % 2 = 0 AS planned, CASE WHEN s_suppkey % 2 = 0 THEN 'Planned disruption' ELSE 'Road disruption' END AS headline, {TXY} FROM supplier")
+def events_vic(t: Tables) -> DataFrame:
+    x, y = txy()
+    s = t.read("supplier")
+    sub = F.when(key() % 3 == 0, "Flooding").when(key() % 3 == 1, "unheard of").otherwise("?")
+    kind = F.when(key() % 3 == 1, "Fallen Tree").otherwise("x")
+    geo = F.format_string('{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[%s,%s]}]}', x, y)
+    a = documents(s.where("s_suppkey % 2 = 0"), F.format_string('{"id":%d,"eventSubtype":"%s","eventType":"%s","geometry":%s}', key(), sub, kind, geo), '{"disruptions":[', "]}")
+    b = documents(s.where("s_suppkey % 2 = 1"), F.format_string('{"properties":{"id":"%d","eventSubType":"%s","eventType":"%s"},"geometry":{"type":"Point","coordinates":[%s,%s]}}', key(), sub, kind, x, y), '{"features":[', "]}")
+    return first_point(events.vic_disruptions(a.union(b), "vic")).select("id", "type", "planned", "headline", "lon", "lat")
+
+
+@query(f"SELECT 'fi:g' || s_suppkey AS id, 'roadworks' AS type, CASE s_suppkey % 3 WHEN 0 THEN 'critical' WHEN 1 THEN 'low' ELSE 'unknown' END AS severity, CASE s_suppkey % 4 WHEN 0 THEN 'closed' WHEN 1 THEN 'some_lanes_closed' WHEN 2 THEN 'single_lane_alternating' END AS road_state, 40.0::DOUBLE + s_suppkey % 2 AS speed_limit, 'E' || s_suppkey AS road, {TXY} FROM supplier")
+def events_digitraffic(t: Tables) -> DataFrame:
+    x, y = txy()
+    kind = F.element_at(F.array(*[F.lit(v) for v in ("ROAD_CLOSED", "NARROW_LANES", "TRAFFIC_LIGHTS", "OTHER")]), (key() % 4 + 1).cast("int"))
+    phase = lambda sev, typ, v: F.concat(F.lit('{"severity":"'), sev, F.lit('","restrictions":[{"type":"'), typ, F.lit('"},{"type":"SPEED_LIMIT","restriction":{"quantity":'), v, F.lit("}}]}"))
+    both = F.concat(phase(F.when(key() % 3 < 2, "LOW").otherwise("?"), kind, F.lit("60")), F.lit(","), phase(F.when(key() % 3 == 0, "HIGHEST").otherwise(""), F.when(key() % 4 == 0, "NARROW_LANES").otherwise("X"), (40 + key() % 2).cast("string")))
+    s = F.concat(F.format_string('{"geometry":{"type":"Point","coordinates":[%s,%s]},"properties":{"situationId":"g%d","situationType":"ROAD_WORK","announcements":[{"locationDetails":{"roadAddressLocation":{"primaryPoint":{"roadAddress":{"road":"E%d"}}}},"roadWorkPhases":[', x, y, key(), key()), both, F.lit("]}]}}"))
+    return first_point(events.digitraffic(documents(t.read("supplier"), s, '{"features":[', "]}"), "fi")).select("id", "type", "severity", "road_state", "speed_limit", "road", "lon", "lat")
+
+
+@query(f"""WITH {OBS} SELECT id, '<message id="' || id || '" receive_time="' || strftime(valid_from, '%Y-%m-%dT%H:%M:%SZ') || '" update_time="' || strftime(valid_from, '%Y-%m-%dT%H:%M:%SZ') || '" urgency="' || CASE severity WHEN 'critical' THEN 'X_URGENT' WHEN 'high' THEN 'URGENT' ELSE 'NORMAL' END || '" expiration_time="' || strftime(coalesce(expires_at, valid_to), '%Y-%m-%dT%H:%M:%SZ') || '" start_time="' || strftime(valid_from, '%Y-%m-%dT%H:%M:%SZ') || '" end_time="' || strftime(valid_to, '%Y-%m-%dT%H:%M:%SZ') || '"><events>'
+  || CASE id % 4 WHEN 0 THEN '<event class="RESTRICTION" type="RESTRICTION_CLOSED"/>' WHEN 1 THEN '<event class="RESTRICTION" type="RESTRICTION_MAX_HEIGHT"/>' WHEN 2 THEN '<event class="CONGESTION" type="CONGESTION_TRAFFIC_CONGESTION"/>' ELSE '<event class="INCIDENT" type="INCIDENT_ACCIDENT"/><event class="RESTRICTION" type="RESTRICTION_LANE_CLOSED"/>' END || '</events><location road_ref="A&amp;1"' || CASE WHEN id % 2 = 0 THEN ' directionality="ONE_DIRECTION"><from>+50.5 -4.25</from><to>+51.0 +5.0</to>' ELSE '><at>+50.5 -4.25</at>' END || '</location></message>' AS value FROM obs""")
+def traff_messages(t: Tables) -> DataFrame:
+    k = F.col("id")
+    p = lambda x, y: F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat"))
+    o = t.obs().withColumns({"type": F.when(k % 4 == 0, "road_closure").when(k % 4 == 1, "dimension_restriction").when(k % 4 == 2, "other").otherwise("accident"), "dimension": F.when(k % 4 == 1, "height"), "road_state": F.when(k % 4 == 0, "closed").when(k % 4 == 3, "some_lanes_closed"), "road": F.lit("A&1"), "direction": F.lit(None).cast("string"), "points": F.when(k % 2 == 0, F.array(p(-4.25, 50.5), p(5.0, 51.0))).otherwise(F.array(p(-4.25, 50.5))), "updated_at": F.col("valid_from")})
+    return emit.traff_messages(o)
+
+
 # --- roads -------------------------------------------------------------------
 
 

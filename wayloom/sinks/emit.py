@@ -53,6 +53,41 @@ def xml_element(tag: str, children: list[tuple[str, Column]]) -> Column:
     return F.concat(F.lit(f"<{tag}>"), *[F.when(c.isNotNull(), F.concat(F.lit(f"<{n}>"), escaped(c), F.lit(f"</{n}>"))).otherwise(F.lit("")) for n, c in children], F.lit(f"</{tag}>"))
 
 
+# TraFF's classes and types of events, and of restrictions by the state of the road and by dimension.
+TRAFF = {
+    "accident": "INCIDENT INCIDENT_ACCIDENT", "broken_down_vehicle": "INCIDENT INCIDENT_BROKEN_DOWN_VEHICLE", "roadworks": "CONSTRUCTION CONSTRUCTION_ROADWORKS", "congestion": "CONGESTION CONGESTION_TRAFFIC_CONGESTION",
+    "hazard": "HAZARD HAZARD_HAZARD", "obstruction": "HAZARD HAZARD_OBSTRUCTION", "road_condition": "HAZARD HAZARD_HAZARD", "weather": "HAZARD HAZARD_HAZARD", "public_event": "ACTIVITY ACTIVITY_EVENT",
+    "authority": "AUTHORITY AUTHORITY_CHECKPOINT", "security": "SECURITY SECURITY_ALERT", "speed_restriction": "RESTRICTION RESTRICTION_SPEED_LIMIT", "road_closure": "RESTRICTION RESTRICTION_CLOSED",
+    "lane_closure": "RESTRICTION RESTRICTION_LANE_CLOSED", "contraflow": "RESTRICTION RESTRICTION_CONTRAFLOW",
+}
+TRAFF_STATES = {"closed": "RESTRICTION RESTRICTION_CLOSED", "some_lanes_closed": "RESTRICTION RESTRICTION_LANE_CLOSED", "single_lane_alternating": "RESTRICTION RESTRICTION_CONTRAFLOW"}
+TRAFF_DIMENSIONS = ["height", "width", "length", "weight"]
+
+
+def traff_messages(rows: DataFrame) -> DataFrame:
+    """(id, value): a TraFF message for each event (id, type, severity, road_state, dimension, road, direction, points, updated_at, valid_from, valid_to, expires_at).
+
+    The event's own code, then its road state's unless it is the same; traffic
+    congestion where neither is known. Lines go from their first position to their last.
+    """
+    known = lambda words, c: F.coalesce(*[F.when(c == k, v) for k, v in words.items()])
+    size = F.when(F.col("type") == "dimension_restriction", F.concat(F.lit("RESTRICTION RESTRICTION_MAX_"), F.upper(F.when(F.col("dimension").isin(TRAFF_DIMENSIONS), F.col("dimension")).otherwise("weight"))))
+    codes = F.array_distinct(F.array_compact(F.array(F.coalesce(size, known(TRAFF, F.col("type"))), known(TRAFF_STATES, F.col("road_state")))))
+    codes = F.when(F.size(codes) == 0, F.array(F.lit("CONGESTION CONGESTION_TRAFFIC_CONGESTION"))).otherwise(codes)
+    event = F.array_join(F.transform(codes, lambda c: F.concat(F.lit('<event class="'), F.split(c, " ")[0], F.lit('" type="'), F.split(c, " ")[1], F.lit('"/>'))), "")
+    signed = lambda n: F.concat(F.when(n >= 0, "+").otherwise(""), n.cast("string"))
+    coord = lambda p: F.concat(signed(p.lat), F.lit(" "), signed(p.lon))
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    attr = lambda n, c: F.coalesce(F.concat(F.lit(f' {n}="'), escaped(c), F.lit('"')), F.lit(""))
+    line = F.size("points") >= 2
+    first, last = F.element_at("points", 1), F.element_at("points", -1)
+    place = F.when(line, F.concat(F.lit("<from>"), coord(first), F.lit("</from><to>"), coord(last), F.lit("</to>"))).otherwise(F.concat(F.lit("<at>"), coord(first), F.lit("</at>")))
+    location = F.concat(F.lit("<location"), attr("road_ref", F.col("road")), attr("direction", F.col("direction")), F.when(line, ' directionality="ONE_DIRECTION"').otherwise(""), F.lit(">"), place, F.lit("</location>"))
+    urgency = F.when(F.col("severity") == "critical", "X_URGENT").when(F.col("severity") == "high", "URGENT").otherwise("NORMAL")
+    head = F.concat(F.lit('<message id="'), escaped(F.col("id")), F.lit('"'), attr("receive_time", iso("updated_at")), attr("update_time", iso("updated_at")), attr("urgency", urgency), attr("expiration_time", iso(F.coalesce("expires_at", "valid_to"))), attr("start_time", iso("valid_from")), attr("end_time", iso("valid_to")), F.lit(">"))
+    return rows.where("size(points) > 0").select("id", F.concat(head, F.lit("<events>"), event, F.lit("</events>"), location, F.lit("</message>")).alias("value"))
+
+
 def situation_records(rows: DataFrame) -> DataFrame:
     """One DATEX II situation per event: rows that aren't active are suspended; without a confidence a forecast is a risk, all else certain; the place is the first position."""
     known = F.when(F.col("confidence") == "observed", "certain").when(F.col("confidence") == "likely", "probable").when(F.col("confidence") == "possible", "riskOf").when(F.col("confidence") == "unknown", "improbable")

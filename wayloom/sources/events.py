@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.functions import geometry
+from wayloom.operators.read import source_type
 from wayloom.sources.datex import bare, leaf, number
 from wayloom.sources.formats import at, items, parser
 from wayloom.sources.national import point, value_of
@@ -18,6 +19,10 @@ LTA_TYPES = {"accident": "accident", "roadwork": "roadworks", "vehicle breakdown
 TRV_TYPES = {"olycka": "accident", "vägarbete": "roadworks", "hinder": "obstruction", "avstängning": "road_closure", "avstängd väg": "road_closure", "vägförhållande": "road_condition", "restriktion": "speed_restriction"}
 OHGO_TYPES = {"crash": "accident", "accident": "accident", "vehicle crash": "accident", "disabled vehicle": "hazard", "vehicle fire": "hazard", "debris": "hazard", "road debris": "hazard", "hazard": "hazard", "flooding": "weather", "weather": "weather", "police activity": "authority", "closure": "road_closure", "road closure": "road_closure"}
 OHGO_STATES = {"open": "open", "closed": "closed", "all lanes closed": "closed", "lanes closed": "some_lanes_closed", "some lanes closed": "some_lanes_closed", "alternating traffic": "single_lane_alternating"}
+VIC_TYPES = {"roadworks": "roadworks", "road works": "roadworks", "maintenance": "roadworks", "construction": "roadworks", "special event": "public_event", "event": "public_event", "crash": "accident", "accident": "accident", "collision": "accident", "incident": "accident", "hazard": "hazard", "fallen tree": "hazard", "traffic hazard": "hazard", "flooding": "weather", "weather": "weather", "fire": "hazard", "closure": "road_closure", "road closure": "road_closure", "congestion": "congestion"}
+IBI_TYPES = {"roadwork": "roadworks", "closures": "road_closure", "accidentsandincidents": "accident"}
+IBI_SEVERITIES = {"minor": "low", "low": "low", "moderate": "medium", "medium": "medium", "major": "high", "high": "high", "severe": "critical", "critical": "critical"}
+DT_STATES = [(["ROAD_CLOSED", "INTERMITTENT_SHORT_TERM_CLOSURE", "SINGLE_CARRIAGEWAY_CLOSED"], "closed"), (["SINGLE_LANE_CLOSED", "MULTIPLE_LANES_CLOSED", "NARROW_LANES"], "some_lanes_closed"), (["SINGLE_ALTERNATE_LINE_TRAFFIC", "TRAFFIC_LIGHTS"], "single_lane_alternating")]
 INCIDENTS = ["accident", "road_closure", "broken_down_vehicle", "obstruction"]
 
 
@@ -88,6 +93,59 @@ def trafikverket_events(raw: DataFrame, source: str) -> DataFrame:
     return s.select(*event(source, F.coalesce(at("doc", "$.Id"), F.sha2("doc", 256)), F.col("kind"), F.col("p"), severity=severity, road=text_or(at("doc", "$.RoadName")), headline=F.coalesce(text_or(at("doc", "$.Message"), F.trim(at("doc", "$.MessageType"))), F.col("kind")), valid_from=at("doc", "$.StartTime"), valid_to=at("doc", "$.EndTime"))).dropDuplicates(["id"])
 
 
+@parser("ibi511")
+def ibi511(raw: DataFrame, source: str) -> DataFrame:
+    """Events with an encoded polyline, else one or two positions; a full closure overrides the type."""
+    n = lambda k: at("doc", f"$.{k}").try_cast("double")
+    coded = geometry.decoded_polyline(F.coalesce(at("doc", "$.EncodedPolyline"), F.lit("")))
+    a, b = F.struct(n("Longitude").alias("lon"), n("Latitude").alias("lat")), F.struct(n("LongitudeSecondary").alias("lon"), n("LatitudeSecondary").alias("lat"))
+    pair = F.when(a.lon.isNotNull() & a.lat.isNotNull(), F.when(b.lon.isNotNull() & b.lat.isNotNull() & (a != b), F.array(a, b)).otherwise(F.array(a)))
+    full = F.coalesce(at("doc", "$.IsFullClosure") == "true", F.lit(False))
+    kind = F.when(full, "road_closure").otherwise(F.coalesce(value_of(IBI_TYPES, F.regexp_replace(F.lower(at("doc", "$.EventType")), "[^a-z]", "")), F.lit("other")))
+    s = items(raw, "$").withColumns({"kind": kind, "p": F.when(F.size(coded) > 0, coded).otherwise(pair)}).where("p is not null")
+    severity = F.coalesce(value_of(IBI_SEVERITIES, F.lower(at("doc", "$.Severity"))), F.lit("unknown"))
+    road = text_or(at("doc", "$.RoadwayName"))
+    return s.select(*event(source, F.coalesce(at("doc", "$.ID"), F.sha2("doc", 256)), F.col("kind"), F.col("p"), severity=severity, direction=text_or(at("doc", "$.DirectionOfTravel")), road=road, headline=F.coalesce(text_or(at("doc", "$.Description")), road, F.col("kind")), valid_from=at("doc", "$.StartDate"), valid_to=at("doc", "$.PlannedEndDate"))).dropDuplicates(["id"])
+
+
+@parser("vic")
+def vic_disruptions(raw: DataFrame, source: str) -> DataFrame:
+    """Planned disruptions (of ``disruptions``) and unplanned ones (of ``features``); the first name that is known gives the type."""
+
+    def named(*some: Column) -> Column:
+        return F.coalesce(*[value_of(VIC_TYPES, F.lower(c)) for c in some], F.lit("other"))
+
+    d = lambda k: at("doc", f"$.{k}")
+    p = items(raw, "$.disruptions").withColumns({"kind": named(d("eventSubtype"), d("eventType"), d("impact.impactType")), "local": text_or(d("id"), d("disruptionId"), d("eventId")), "p": geometry.positions(F.coalesce(d("geometry"), F.lit("")))})
+    planned = p.where("local is not null and size(p) > 0").select(*event(source, F.col("local"), F.col("kind"), F.col("p"), F.lit("planned"), F.lit(True), direction=d("impact.direction"), road=text_or(d("roadName"), d("road")), headline=F.coalesce(text_or(d("name"), d("title"), d("description"), d("roadName")), F.lit("Planned disruption")), valid_from=d("duration.start"), valid_to=d("duration.end")))
+    q = lambda k: at("doc", f"$.properties.{k}")
+    u = items(raw, "$.features").withColumns({"kind": named(F.coalesce(q("eventSubType"), q("eventSubtype")), q("eventType"), q("status")), "local": text_or(q("id"), at("doc", "$.id"), q("eventId")), "p": geometry.positions(F.coalesce(at("doc", "$.geometry"), F.lit("")))})
+    unplanned = u.where("local is not null and size(p) > 0").select(*event(source, F.col("local"), F.col("kind"), F.col("p"), F.lit("incident"), F.lit(False), direction=q("direction"), road=text_or(q("roadName"), q("road")), headline=F.coalesce(text_or(q("name"), q("title"), q("description"), q("roadName")), F.lit("Road disruption")), valid_from=q("created"), valid_to=q("endTime")))
+    return planned.unionByName(unplanned).dropDuplicates(["id"])
+
+
+@parser("digitraffic")
+def digitraffic(raw: DataFrame, source: str) -> DataFrame:
+    """Messages of one announcement: the state and severity are the worst of its phases', the speed limit the lowest."""
+    a = lambda k: at("doc", f"$.properties.announcements[0].{k}")
+    phases = F.coalesce(F.from_json(a("roadWorkPhases"), "array<struct<severity:string,restrictions:array<struct<type:string,restriction:struct<quantity:double>>>>>"), F.array().cast("array<struct<severity:string,restrictions:array<struct<type:string,restriction:struct<quantity:double>>>>>"))
+    bounds = F.flatten(F.transform(phases, lambda x: F.coalesce(x.restrictions, F.array().cast("array<struct<type:string,restriction:struct<quantity:double>>>"))))
+    kinds = F.transform(bounds, lambda r: r.type)
+    state = F.lit(None).cast("string")
+    for words, name in reversed(DT_STATES):
+        state = F.when(F.arrays_overlap(F.filter(kinds, lambda k: k.isNotNull()), F.array(*[F.lit(w) for w in words])), name).otherwise(state)
+    limit = F.array_min(F.transform(F.filter(bounds, lambda r: r.type == "SPEED_LIMIT"), lambda r: r.restriction.quantity))
+    has = lambda v: F.exists(phases, lambda x: F.upper(x.severity) == v)
+    severity = F.when(has("HIGHEST"), "critical").when(has("HIGH"), "high").when(has("LOW"), "low").otherwise("unknown")
+    code = F.coalesce(at("doc", "$.properties.trafficAnnouncementType"), at("doc", "$.properties.situationType"), F.lit(""))
+    s = items(raw, "$.features").withColumns({"t": source_type(code), "p": geometry.positions(F.coalesce(at("doc", "$.geometry"), F.lit("")))}).where("size(p) > 0")
+    place = "locationDetails.roadAddressLocation"
+    direction = F.coalesce(text_or(a(f"{place}.directionDescription")), F.nullif(F.upper(a(f"{place}.direction")), F.lit("UNKNOWN")))
+    road = text_or(a(f"{place}.primaryPoint.roadAddress.road"), a(f"{place}.primaryPoint.roadName"))
+    own = event(source, F.coalesce(at("doc", "$.properties.situationId"), F.sha2("doc", 256)), F.col("t.type"), F.col("p"), F.col("t.category"), F.col("t.planned"), severity=severity, road_state=state, direction=direction, road=road, headline=F.coalesce(text_or(a("title")), F.col("t.type")), valid_from=a("timeAndDuration.startTime"), valid_to=a("timeAndDuration.endTime"))
+    return s.select(*own, limit.alias("speed_limit")).dropDuplicates(["id"])
+
+
 def measurement_sites(elements: DataFrame) -> DataFrame:
     """(site, points) of DATEX II measurement site records (value)."""
     lat, lon = number("(.//latitude)[1]"), number("(.//longitude)[1]")
