@@ -273,6 +273,50 @@ def test_templates_and_schedules(spark):
     assert [value(spark, scalars.same_road(F.lit(a), F.lit(b))) for a, b in (("N A-12", "a12"), ("A12", "A1"), ("", "A1"))] == [True, False, False]
 
 
+def test_transit_entities(spark):
+    from wayloom.sinks import transit
+
+    t = ts("2024-01-01 10:00:00")
+    rows = [("a", [("route", " 7 "), ("route", "7"), ("stop", ""), ("mode", "Tram")], t, None, t, 1, 2, 3, "Head", None, None), ("b", [("stop", " ")], t, t, t, 1, 2, 3, "x", "y", "z")]
+    df = spark.createDataFrame(rows, "id string, informed array<struct<kind:string,id:string>>, valid_from timestamp, valid_to timestamp, expires_at timestamp, cause int, effect int, severity_level int, headline string, description string, url string")
+    got = transit.alerts(df).collect()
+    assert [r.id for r in got] == ["a"]
+    (_, entity), = transit.parsed(bytes(got[0].entity))
+    body = dict(transit.parsed(entity))[5]
+    fields = transit.parsed(body)
+    s = int(t.replace(tzinfo=dt.timezone.utc).timestamp())
+    assert [transit.parsed(v) for k, v in fields if k == 5] == [[(2, b"7")], [(3, 0)]] and transit.parsed(dict(fields)[1]) == [(1, s), (2, s)]
+    assert transit.parsed(transit.parsed(dict(fields)[10])[0][1]) == [(1, b"Head"), (2, b"en")] and dict(fields)[14] == 3
+    m = spark.createDataFrame([("v", "t1", "FULL", "bus", None, t), ("s", "t1", "EMPTY", None, 300, t), ("n", "t1", "EMPTY", None, None, t), ("x", None, "FULL", "bus", 1, t)], "id string, trip string, level string, vehicle string, stop_sequence int, updated_at timestamp")
+    occ = {r.id: transit.parsed(transit.parsed(bytes(r.entity))[0][1]) for r in transit.occupancies(m).collect()}
+    assert {*occ} == {"v", "s"} and dict(transit.parsed(dict(occ["v"])[4]))[9] == 5
+    assert transit.parsed(dict(transit.parsed(dict(occ["s"])[3]))[2]) == [(1, 300), (7, 0)]
+
+
+def test_rebuild_goes_on_after_a_failure():
+    done = []
+    errors = segments.rebuild([("a", lambda: done.append(1)), ("b", lambda: 1 / 0), ("c", lambda: done.append(3))])
+    assert done == [1, 3] and errors["a"] is None and "ZeroDivision" in errors["b"]
+
+
+def test_late_rows_are_kept(spark, tmp_path):
+    src = tmp_path / "in"
+    rows = [(1, ts("2024-01-01 10:00:00")), (1, ts("2023-01-01 10:00:00"))]
+    spark.createDataFrame(rows, "sensor_key long, observed_at timestamp").write.parquet(f"file://{src}")
+    seen = []
+    q = jobs.with_late_side(jobs.stream_parquet(spark, f"file://{src}", "sensor_key long, observed_at timestamp"), f"file://{tmp_path}/kept", f"file://{tmp_path}/state", lambda b: seen.append(b.count()))
+    q.awaitTermination()
+    assert sum(seen) == 2 and spark.read.parquet(f"file://{tmp_path}/kept").count() == 2
+
+
+def test_road_events_say_their_headline(spark):
+    t = ts("2024-01-01 10:00:00")
+    rows = [(1, 4.0, 50.0, "x", "a", "works", None, t), (2, 4.0, 50.0, "x", "a", "fallen tree", "works", t), (3, 4.0, 50.0, "x", "a", None, "works", t + dt.timedelta(1)), (4, 4.0, 50.0, "x", "a", " ", None, t)]
+    df = spark.createDataFrame(rows, "idx long, lon double, lat double, type string, source string, headline string, label string, updated_at timestamp")
+    got = resolution.deduplicated(df, text=F.coalesce("headline", "label"))
+    assert sorted(r.idx for r in got.collect()) == [2, 3]
+
+
 def test_openlr_lines(spark):
     import base64
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -166,3 +168,20 @@ def geojson_of(points: Column) -> Column:
     """GeoJSON text: a point for one position, else a line."""
     pair = lambda p: F.array(p.lon, p.lat)
     return F.when(F.size(points) == 1, F.to_json(F.struct(F.lit("Point").alias("type"), pair(points[0]).alias("coordinates")))).when(F.size(points) > 1, F.to_json(F.struct(F.lit("LineString").alias("type"), F.transform(points, pair).alias("coordinates"))))
+
+
+def tile_envelope(z: int, x: int, y: int) -> tuple[float, float, float, float]:
+    """West, south, east and north of a web map tile."""
+    n = 2**z
+    if not (0 <= x < n and 0 <= y < n):
+        raise ValueError("no such tile")
+    lat = lambda k: math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * k / n))))
+    return x / n * 360 - 180, lat(y + 1), (x + 1) / n * 360 - 180, lat(y)
+
+
+def tile_position(lon: Column, lat: Column, z: int, x: int, y: int, extent: int = 4096) -> Column:
+    """Place within a tile in its own units, from its upper left corner."""
+    n = 2**z
+    across = (lon + 180) / 360 * n - x
+    down = (1 - F.log(F.tan(F.radians(lat)) + 1 / F.cos(F.radians(lat))) / math.pi) / 2 * n - y
+    return F.struct(F.round(across * extent).cast("int").alias("x"), F.round(down * extent).cast("int").alias("y"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,43 @@ def content_hash(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256)
 
 
+def sorted_json(text: Column) -> Column:
+    """JSON with the keys of all its objects in order and fields of null left out; null for what is no JSON."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        def bare(v):
+            if isinstance(v, dict):
+                return {k: bare(x) for k, x in sorted(v.items()) if x is not None}
+            return [bare(x) for x in v] if isinstance(v, list) else v
+
+        out = []
+        for t in texts:
+            try:
+                out.append(None if t is None else json.dumps(bare(json.loads(t)), separators=(",", ":"), ensure_ascii=False))
+            except ValueError:
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    return run(text)
+
+
+def prune_batch(rows: DataFrame, at: str, key: str, size: int) -> DataFrame:
+    """The oldest rows, at most ``size`` of them."""
+    return rows.orderBy(at, key).limit(size)
+
+
+def projected(rows: DataFrame, attributes: dict[str, str]) -> DataFrame:
+    """Stored rows with fields of their JSON ``attributes`` spread to columns (name: type) where the row has no column of that name."""
+    return rows.select("*", *[F.get_json_object("attributes", f"$.{k}").cast(t).alias(k) for k, t in attributes.items() if k not in rows.columns]).drop("attributes")
+
+
+def stored(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The reverse: the named columns as they are, all others as one JSON text ``attributes``, nulls left out."""
+    rest = [c for c in rows.columns if c not in columns]
+    return rows.select(*columns, F.to_json(F.struct(*rest)).alias("attributes"))
+
+
 def last_wins(rows: DataFrame, key: str, ordinal: str) -> DataFrame:
     """One row per key: the values of its last, the position of its first."""
     rest = [c for c in rows.columns if c not in (key, ordinal)]

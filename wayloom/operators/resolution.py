@@ -59,19 +59,23 @@ def similar_labels(rows: DataFrame, overlap: float) -> DataFrame:
     return pairs.join(side("i"), "i").join(side("j"), "j").select("i", "j", jaccard(F.col("wi"), F.col("wj")).alias("overlap")).where(F.col("overlap") >= overlap)
 
 
-def same_source_edges(rows: DataFrame, radius_m: float = 60.0, overlap: float = 0.5) -> DataFrame:
-    """Pairs of one source that are near and whose labels overlap; a missing label passes."""
-    pairs = near_pairs(rows, radius_m)
-    x = rows.select(F.col("idx").alias("i"), F.col("source").alias("si"), tokens(F.col("label")).alias("ti"))
-    y = rows.select(F.col("idx").alias("j"), F.col("source").alias("sj"), tokens(F.col("label")).alias("tj"))
+def same_source_edges(rows: DataFrame, radius_m: float = 60.0, overlap: float = 0.5, text: Column | None = None) -> DataFrame:
+    """Pairs of one source that are near and whose texts (``text`` over the rows, else label) overlap; a missing one passes."""
+    pairs = near_pairs(rows, radius_m, strict=True)
+    said = tokens(F.nullif(F.trim(F.col("label") if text is None else text), F.lit("")))
+    x = rows.select(F.col("idx").alias("i"), F.col("source").alias("si"), said.alias("ti"))
+    y = rows.select(F.col("idx").alias("j"), F.col("source").alias("sj"), said.alias("tj"))
     j = pairs.join(x, "i").join(y, "j").where("si = sj")
-    ok = F.col("ti").isNull() | F.col("tj").isNull() | (F.size("ti") == 0) | (F.size("tj") == 0) | (jaccard(F.col("ti"), F.col("tj")) >= overlap)
+    ok = F.col("ti").isNull() | F.col("tj").isNull() | (jaccard(F.col("ti"), F.col("tj")) >= overlap)
     return j.where(ok).select("i", "j", "metres")
 
 
-def deduplicated(rows: DataFrame, radius_m: float = 60.0, overlap: float = 0.5) -> DataFrame:
-    """Of rows (idx, lon, lat, type, source, label, updated_at) of one source that say the same, the newest, the first of equals."""
-    clusters = complete_linkage(same_source_edges(rows, radius_m, overlap))
+def deduplicated(rows: DataFrame, radius_m: float = 60.0, overlap: float = 0.5, text: Column | None = None) -> DataFrame:
+    """Of rows (idx, lon, lat, type, source, label, updated_at) of one source that say the same, the newest, the first of equals.
+
+    Road events say their headline, else their label: text = coalesce(headline, label).
+    """
+    clusters = complete_linkage(same_source_edges(rows, radius_m, overlap, text))
     j = rows.join(clusters, "idx", "left").withColumn("cluster", F.coalesce("cluster", "idx"))
     best = Window.partitionBy("cluster").orderBy(F.desc("updated_at"), "idx")
     return j.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r", "cluster")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import base64
 import math
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayloom.functions.geometry import polyline_distance_m
+from wayloom.functions.geometry import polyline_distance_m, tile_envelope, tile_position
 from wayloom.functions.scalars import azimuth_deg, haversine_m, level_of_service, min_zoom
+from wayloom.sources import openlr
+from wayloom.sources.roads import form_of_way, road_class
 
 # Declared levels of service, worst last, and tiers of sources, best first.
 LOS_RANK = {"free_flow": 0, "heavy": 1, "queuing": 2, "stationary": 3, "blocked": 4}
@@ -181,3 +186,45 @@ def overlay(segments: DataFrame, speeds: DataFrame, box: tuple[float, float, flo
     w, s, e, n = box
     inside = (F.greatest("ax", "bx") >= w) & (F.least("ax", "bx") <= e) & (F.greatest("ay", "by") >= s) & (F.least("ay", "by") <= n)
     return segments.where(inside).join(speeds, "segment_id", "left").orderBy("segment_id").limit(limit)
+
+
+def tile(segments: DataFrame, speeds: DataFrame, z: int, x: int, y: int) -> DataFrame:
+    """What a map tile shows: segments due at its zoom whose envelope touches it, with their speed if any and their ends in the tile's units."""
+    w, s, e, n = tile_envelope(z, x, y)
+    inside = (F.greatest("ax", "bx") >= w) & (F.least("ax", "bx") <= e) & (F.greatest("ay", "by") >= s) & (F.least("ay", "by") <= n)
+    ends = F.array(tile_position(F.col("ax"), F.col("ay"), z, x, y), tile_position(F.col("bx"), F.col("by"), z, x, y))
+    return segments.where(inside & (F.col("min_zoom") <= z)).join(speeds, "segment_id", "left").withColumn("line", ends)
+
+
+def without_regions(segments: DataFrame, ways: DataFrame, regions: list[str]) -> DataFrame:
+    """Segments that stay when the given regions are built anew."""
+    return segments.join(ways.where(F.col("region").isin(regions)).select("way_id").distinct(), "way_id", "left_anti")
+
+
+def line_references(segments: DataFrame) -> DataFrame:
+    """(segment_id, openlr) of segments without a reference (segment_id, highway, junction, oneway, ax, ay, bx, by, length_m, openlr): their ends as a line."""
+    todo = segments.where("openlr is null").select("segment_id", road_class(F.col("highway")).alias("frc"), form_of_way(F.col("highway"), F.col("junction"), F.col("oneway")).alias("fow"), azimuth_deg(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")).alias("deg"), "ax", "ay", "bx", "by", "length_m")
+
+    @F.pandas_udf("string")
+    def write(rows: pd.DataFrame) -> pd.Series:
+        made = []
+        for r in rows.itertuples():
+            a = openlr.Point(r.ax, r.ay, r.frc, r.fow, r.deg, r.frc, r.length_m)
+            b = openlr.Point(r.bx, r.by, r.frc, r.fow, (r.deg + 180) % 360)
+            made.append(base64.b64encode(openlr.encode([a, b])).decode() if max(abs(r.bx - r.ax), abs(r.by - r.ay)) < 0.32 and r.length_m < 15_000 else None)
+        return pd.Series(made, dtype=object)
+
+    out = todo.withColumn("openlr", write(F.struct("frc", "fow", "deg", "ax", "ay", "bx", "by", "length_m")))
+    return out.where("openlr is not null").select("segment_id", "openlr")
+
+
+def rebuild(steps: list[tuple[str, Callable[[], object]]]) -> dict[str, str | None]:
+    """Run the steps in order, each on its own: a step that fails doesn't stop those after it. Errors by step."""
+    errors: dict[str, str | None] = {}
+    for name, step in steps:
+        try:
+            step()
+            errors[name] = None
+        except Exception as e:
+            errors[name] = f"{type(e).__name__}: {e}"
+    return errors

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.functions import geometry, scalars
-from wayloom.operators import changes, read, resolution, speed
+from wayloom.operators import changes, read, resolution, segments, speed
 from wayloom.plans.adapters import BINS, OBS, OBS_NOW, SAMPLES, Tables, haversine
 from wayloom.plans.registry import query
 from wayloom.sinks import emit
-from wayloom.sources import datex, events, formats, roads
+from wayloom.sources import datex, events, formats, openlr, roads
 from wayloom.streaming import jobs
 
 XY = "round(4 + s_suppkey % 90 * 0.01::DOUBLE, 6) AS lon, round(50 + s_suppkey % 70 * 0.01::DOUBLE, 6) AS lat"
@@ -128,6 +128,23 @@ def layered_registry(t: Tables) -> DataFrame:
     return formats.layered(r).select("id", "slot", "url")
 
 
+@query("""SELECT s_suppkey, '{"a":{"x":1,"y":[{"b":2,"c":"é"}]},"z":' || s_suppkey || '}' AS canonical, sha256('{"a":{"x":1,"y":[{"b":2,"c":"é"}]},"z":' || s_suppkey || '}') AS content_hash FROM supplier""")
+def nested_content_hash(t: Tables) -> DataFrame:
+    c = changes.sorted_json(F.format_string('{"z":%d,"n":null,"a":{"y":[{"c":"é","b":2}],"x":1}}', key()))
+    return t.read("supplier").select("s_suppkey", c.alias("canonical")).withColumn("content_hash", F.sha2("canonical", 256))
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus AS status, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS lanes, 'd' || o_custkey AS direction FROM orders")
+def attributes_round_trip(t: Tables) -> DataFrame:
+    o = t.read("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).alias("lanes"), F.concat(F.lit("d"), F.col("o_custkey").cast("string")).alias("direction"))
+    return changes.projected(changes.stored(o, ["id", "status"]), {"lanes": "long", "direction": "string", "status": "string"})
+
+
+@query("SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-20' ORDER BY ts, event_id LIMIT 1000")
+def prune_oldest(t: Tables) -> DataFrame:
+    return changes.prune_batch(t.events().where("ts < timestamp '2024-01-20'"), "ts", "event_id", 1000).select("event_id")
+
+
 # --- older parsers and emitters ----------------------------------------------
 
 
@@ -346,6 +363,37 @@ def station_registries(t: Tables) -> DataFrame:
     return first_point(tag(a, 0).unionByName(tag(b, 1)).unionByName(tag(c, 2))).select("site", "kind", "lon", "lat")
 
 
+SEGMENT_ENDS = "SELECT s_suppkey AS segment_id, 4.0::DOUBLE + (s_suppkey % 97) * 0.01::DOUBLE AS ax, 50.0::DOUBLE + (s_suppkey % 89) * 0.01::DOUBLE AS ay, CASE WHEN s_suppkey % 6 < 2 THEN 5 WHEN s_suppkey % 6 = 2 THEN 8 WHEN s_suppkey % 6 = 3 THEN 10 WHEN s_suppkey % 6 = 4 THEN 12 ELSE 13 END AS min_zoom FROM supplier"
+
+
+@query(f"""WITH s AS ({SEGMENT_ENDS}), p AS (SELECT *, (ax + 180) / 360 * 256 - 131 AS u, (1 - ln(tan(radians(ay)) + 1 / cos(radians(ay))) / pi()) / 2 * 256 - 86 AS v FROM s WHERE min_zoom <= 8)
+SELECT segment_id, CASE WHEN segment_id % 2 = 0 THEN 50.0::DOUBLE END AS speed_kph, round(u * 4096)::INTEGER AS x, round(v * 4096)::INTEGER AS y FROM p WHERE ax + 0.01 >= 131 / 256.0 * 360 - 180 AND ax <= 132 / 256.0 * 360 - 180 AND ay + 0.01 >= degrees(atan(sinh(pi() * (1 - 2 * 87 / 256.0)))) AND ay <= degrees(atan(sinh(pi() * (1 - 2 * 86 / 256.0))))""")
+def segment_tile(t: Tables) -> DataFrame:
+    """The segments on tile 8/131/86."""
+    k = key()
+    ax, ay = F.lit(4.0) + (k % 97) * 0.01, F.lit(50.0) + (k % 89) * 0.01
+    zoom = F.when(k % 6 < 2, 5).when(k % 6 == 2, 8).when(k % 6 == 3, 10).when(k % 6 == 4, 12).otherwise(13)
+    s = t.read("supplier").select(k.alias("segment_id"), ax.alias("ax"), ay.alias("ay"), (ax + 0.01).alias("bx"), (ay + 0.01).alias("by"), zoom.alias("min_zoom"))
+    v = s.where("segment_id % 2 = 0").select("segment_id", F.lit(50.0).alias("speed_kph"))
+    return segments.tile(s, v, 8, 131, 86).select("segment_id", "speed_kph", F.col("line")[0].x.alias("x"), F.col("line")[0].y.alias("y"))
+
+
+@query("SELECT s_suppkey AS way_id FROM supplier WHERE s_suppkey % 3 <> 1")
+def region_rebuilt(t: Tables) -> DataFrame:
+    w = t.read("supplier").select(key().alias("way_id"), F.concat(F.lit("r"), (key() % 3).cast("string")).alias("region"))
+    return segments.without_regions(w.select("way_id"), w, ["r1"])
+
+
+@query("SELECT s_suppkey AS segment_id, 2 AS points, s_suppkey % 2 = 0 AS motorway FROM supplier WHERE s_suppkey % 4 <> 0")
+def segment_references(t: Tables) -> DataFrame:
+    """References of segments without one, read back."""
+    k = key()
+    ax, ay = F.lit(4.0) + (k % 97) * 0.01, F.lit(50.0) + (k % 89) * 0.01
+    s = t.read("supplier").select(k.alias("segment_id"), F.when(k % 2 == 0, "motorway").otherwise("primary").alias("highway"), F.lit(None).cast("string").alias("junction"), F.lit(True).alias("oneway"), ax.alias("ax"), ay.alias("ay"), (ax + 0.01).alias("bx"), (ay - 0.01).alias("by"), F.lit(1300.0).alias("length_m"), F.when(k % 4 == 0, "x").alias("openlr"))
+    d = segments.line_references(s).withColumn("d", openlr.decoded(F.col("openlr")))
+    return d.select("segment_id", F.size("d.points").alias("points"), (F.col("d.points")[0].fow == 1).alias("motorway"))
+
+
 # --- streams -----------------------------------------------------------------
 
 
