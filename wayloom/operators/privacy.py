@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def in_windows(tuples: DataFrame, windows: DataFrame) -> DataFrame:
-    """Tuples with the half-open window they fall in. The manifest's windows are few and may not overlap."""
-    return tuples.join(F.broadcast(windows), (F.col("ts_ms") >= F.col("start_ms")) & (F.col("ts_ms") < F.col("end_ms")))
+def in_windows(tuples: DataFrame, windows: DataFrame, slot_ms: int = 86_400_000) -> DataFrame:
+    """Tuples with the half-open window they fall in. The manifest's windows may not overlap; both sides meet in slots of a day."""
+    slots = windows.where("end_ms > start_ms").withColumn("slot", F.explode(F.sequence(F.floor(F.col("start_ms") / slot_ms), F.floor((F.col("end_ms") - 1) / slot_ms))))
+    own = tuples.withColumn("slot", F.floor(F.col("ts_ms") / slot_ms))
+    return own.join(slots, "slot").where((F.col("ts_ms") >= F.col("start_ms")) & (F.col("ts_ms") < F.col("end_ms"))).drop("slot")
 
 
 def shaped(tuples: DataFrame, low: float, high: float, max_cells: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayloom.operators.crowd import in_periods
+
 # Seconds a claim may lie behind and ahead, its nonce, weights of trust, cut points of confidence.
 MAX_PAST_S, MAX_FUTURE_S = 86_400, 300
 NONCE = r"^[A-Za-z0-9_-]{16,64}$"
@@ -119,10 +121,10 @@ def cast_votes(votes: DataFrame, states: DataFrame) -> DataFrame:
 def rate_by_cell(reports: DataFrame, seconds: int = 60) -> DataFrame:
     """Accepted reports of the same actor, and of it in the same cell, in the (t - seconds, t] before each, itself left out."""
     span = -(seconds * 1_000_000 - 1)
-    w = Window.partitionBy("actor").orderBy(F.unix_micros("at")).rangeBetween(span, 0)
-    c = Window.partitionBy("actor", "cell").orderBy(F.unix_micros("at")).rangeBetween(span, 0)
+    w = Window.partitionBy("actor", "period").orderBy(F.unix_micros("at")).rangeBetween(span, 0)
+    c = Window.partitionBy("actor", "period", "cell").orderBy(F.unix_micros("at")).rangeBetween(span, 0)
     ok = F.col("accepted").cast("int")
-    return reports.withColumns({"recent": F.sum(ok).over(w) - ok, "recent_here": F.sum(ok).over(c) - ok})
+    return in_periods(reports, seconds).withColumns({"recent": F.sum(ok).over(w) - ok, "recent_here": F.sum(ok).over(c) - ok}).where("own").drop("own", "period")
 
 
 def page_beyond(rows: DataFrame, order: list[Column], cap: int) -> tuple[DataFrame, DataFrame]:
