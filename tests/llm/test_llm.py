@@ -645,6 +645,22 @@ def plain_path(f, toks):
     return path[::-1], float(score.max())
 
 
+def test_stretches_give_the_path_of_the_whole_text():
+    f, pick = pii.field(), random.Random(23)
+    assert 0 < f.reach < 40
+    lines = [t for t, _ in pii.labelled()]
+    texts = []
+    for _ in range(400):
+        words = []
+        for _ in range(pick.randint(0, 6)):
+            words += [pick.choice(["word", "Word", "end.", "End,", "a", "phone", "call", "Mail"]) for _ in range(pick.choice([0, 3, 9, 12, 25, 60]))]
+            words += pick.choice([pick.choice(lines), [pick.choice(pick.choice(lines))], [str(pick.randrange(10**9))], ["(212)"], ["+49"]])
+        texts.append(f.classes(words[: pick.choice([len(words), len(words) // 2])]))
+    whole, parts = f.viterbi(texts, whole=True), f.viterbi(texts)
+    assert all((a == b).all() for a, b in zip(whole, parts)) and sum(a.any() for a in whole) > 100
+    assert sum(hi - lo for t in texts for lo, hi in f.stretches(t)) < 0.9 * sum(map(len, texts))
+
+
 def test_viterbi_is_the_best_path_over_whole_texts(monkeypatch):
     f, pick = pii.field(), random.Random(20)
     monkeypatch.setattr(pii, "KNOWN_TOKENS", 40)

@@ -6,9 +6,12 @@ its neighbours; its weights come from the small labelled table below by maximum
 likelihood, once, on the driver. Tokens with the same known features are one
 class, and a class has one row of weights as itself and as a neighbour, so a
 batch of sequences is three look-ups; Viterbi then decodes the batch in numpy,
-position by position, over the sequences that reach it. Spans the field finds
-that touch no pattern's span and pass the kind's check are added; the patterns'
-spans stay.
+position by position, over the sequences that reach it. After training a bound
+on all walks through plain words shows how far from any other token a best path
+can be inside a span; farther words are outside without being computed, and the
+path is that of the whole text (see ``quiet_reach``). Spans the field finds that
+touch no pattern's span and pass the kind's check are added; the patterns' spans
+stay.
 
 Cases: null text is empty; empty text has no spans, base_sha256 that of the
 empty string and empty ``spans``; long runs of digits or letters take linear
@@ -33,6 +36,8 @@ from wayloom.llm.common import give_back
 
 #: Characters of texts decoded together; tokens whose class is remembered, and their longest.
 BATCH_CHARS, KNOWN_TOKENS, KNOWN_CHARS = 1 << 20, 60_000, 48
+#: One of each class of plain tokens: words of letters, also before a full stop or the like. What a path can't take.
+PLAIN, BARRED = ("a", "A", "a.", "A."), -1e4
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
@@ -239,6 +244,8 @@ class Field:
         self.rows = np.zeros((3, 0, n), np.float32)
         self.known: dict[str, int] = {}
         self.none = self.classify("")
+        self.plain = np.array([self.classify(t) for t in PLAIN])
+        self.reach = self.quiet_reach()
 
     def classify(self, token: str) -> int:
         """The class of a token."""
@@ -261,7 +268,7 @@ class Field:
     def classes(self, tokens: list[str]) -> np.ndarray:
         """Classes of a sequence. Words of letters alone, also before a full stop or the like, have four classes and aren't looked up."""
         known, out = self.known, []
-        low, high, low_end, high_end = (self.classify(t) for t in ("a", "A", "a.", "A."))
+        low, high, low_end, high_end = self.plain.tolist()
         for t in tokens:
             if t.isalpha():
                 out.append(high if t[0].isupper() else low)
@@ -271,29 +278,81 @@ class Field:
                 out.append(known[t] if t in known else self.classify(t))
         return np.array(out, np.int32)
 
-    def viterbi(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
-        """Best labels of every sequence of classes. Entries are laid out by position, longer sequences first, so a step reads one slice."""
-        order = sorted((i for i in range(len(sequences)) if len(sequences[i])), key=lambda i: -len(sequences[i]))
-        out = [np.empty(0, np.int8) for _ in sequences]
-        if not order:
+    def quiet_reach(self, most: int = 64) -> int | None:
+        """Plain tokens on either side of others beyond which a best path is outside of all spans; None if that can't be shown.
+
+        All is relative to staying outside. A step of a path among plain tokens gains
+        at most ``high`` (the best of all neighbours that plain tokens can have), and
+        at least ``low``. If no walk out of O and back gains anything, none is taken
+        among plain tokens alone; and if a path inside spans for n plain tokens gains
+        no more than one that leaves at once and comes back in the last two steps,
+        then beyond n tokens from any other token a best path is at O.
+        """
+        c = [self.classify(t) for t in PLAIN]
+        e = np.array([self.rows[0][i] + self.rows[1][j] + self.rows[2][k] for i in c for j in c for k in c], float)
+        gain = e - e[:, :1]
+        step = self.trans - self.trans[0, 0]
+        high, low = step + gain.max(0)[None, :], step + gain.min(0)[None, :]
+        inside, out = high[1:, 1:], high[1:, 0]
+        back = np.array([low[0, b] if LABELS[b][0] == "B" else low[0, b - 1] + low[b - 1, b] for b in range(1, len(LABELS))])
+        best = high[0, 1:].copy()  # of walks that have left O
+        walk = np.where(np.eye(len(inside)) > 0, 0.0, -np.inf)  # of n steps inside, by ends
+        for n in range(1, most):
+            if (best + out).max() >= 0:
+                return None
+            best = (best[:, None] + inside).max(0)
+            walk = (walk[:, :, None] + inside[None]).max(1)
+            if n > 2 and (walk - step[1:, :1] - np.minimum(back, 0)[None, :]).max() + max(0.0, out.max()) < 0 and best.max() < np.minimum(back, 0).min():
+                return n + 2  # the two steps back, and a neighbour's features
+        return None
+
+    def stretches(self, c: np.ndarray) -> list[tuple[int, int]]:
+        """The parts of a sequence of classes that must be decoded: those in reach of a token that isn't plain, or of an end of the text."""
+        if self.reach is None or len(c) < 2:
+            return [(0, len(c))] if len(c) else []
+        odd = c > self.plain.max()  # plain classes were numbered first
+        odd[0] = odd[-1] = True
+        odd = np.flatnonzero(odd)
+        new = np.flatnonzero(np.diff(odd) > 2 * self.reach + 2)
+        first, last = odd[np.concatenate([[0], new + 1])], odd[np.concatenate([new, [len(odd) - 1]])]
+        return [(max(0, lo - self.reach - 1), min(len(c), hi + self.reach + 2)) for lo, hi in zip(first.tolist(), last.tolist())]
+
+    def viterbi(self, sequences: list[np.ndarray], whole: bool = False) -> list[np.ndarray]:
+        """Best labels of every sequence of classes; outside of ``stretches`` they are O, and stretches begin and end with O there.
+
+        Stretches are decoded together: entries are laid out by position, longer ones first, so a step reads one slice.
+        """
+        out = [np.zeros(len(s), np.int8) for s in sequences]
+        parts = [(i, lo, hi) for i, s in enumerate(sequences) for lo, hi in ([(0, len(s))] if whole and len(s) else self.stretches(s))]
+        parts.sort(key=lambda p: p[1] - p[2])
+        if not parts:
             return out
-        size = np.array([len(sequences[i]) for i in order])
+        size = np.array([hi - lo for _, lo, hi in parts])
         width, total = int(size[0]), int(size.sum())
-        reach = np.searchsorted(-size, -np.arange(width), side="left")  # sequences longer than each position
+        reach = np.searchsorted(-size, -np.arange(width), side="left")  # stretches longer than each position
         at = np.concatenate([[0], np.cumsum(reach)])
         start = np.concatenate([[0], np.cumsum(size)[:-1]])
-        c = np.concatenate([sequences[i] for i in order])
-        e = self.rows[0][c]
-        first, last = np.zeros(total, bool), np.zeros(total, bool)
-        first[start], last[start + size - 1] = True, True
-        e += self.rows[1][np.where(first, self.none, np.roll(c, 1))]
-        e += self.rows[2][np.where(last, self.none, np.roll(c, -1))]
-        place = at[np.arange(total) - np.repeat(start, size)] + np.repeat(np.arange(len(order)), size)
+
+        def beside(shift: int) -> np.ndarray:
+            """The classes before (-1), at (0) or after (1) each token, of its whole text."""
+            near = []
+            for i, lo, hi in parts:
+                s, a, b = sequences[i], lo + shift, hi + shift
+                near.append(s[a:b] if 0 <= a and b <= len(s) else np.concatenate([[self.none] * (a < 0), s[max(a, 0) : b], [self.none] * (b > len(s))]))
+            return np.concatenate(near).astype(np.int32)
+
+        e = self.rows[0][beside(0)]
+        e += self.rows[1][beside(-1)]
+        e += self.rows[2][beside(1)]
+        inner = np.array([lo > 0 for _, lo, _ in parts]), np.array([hi < len(sequences[i]) for i, _, hi in parts])
+        for edge, rows_ in zip(inner, (start, start + size - 1)):
+            e[rows_[edge], 1:] = BARRED
+        place = at[np.arange(total) - np.repeat(start, size)] + np.repeat(np.arange(len(parts)), size)
         by_place = np.empty_like(e)
         by_place[place] = e
-        del e, c
+        del e
         back = np.zeros((total, len(LABELS)), np.int8)
-        ends, best = np.empty((len(order), len(LABELS))), np.empty((len(order), len(LABELS)), np.intp)
+        ends, best = np.empty((len(parts), len(LABELS))), np.empty((len(parts), len(LABELS)), np.intp)
         score = by_place[: reach[0]] + self.first
         reach_, at_, into = reach.tolist(), at.tolist(), np.ascontiguousarray(self.trans.T)
         for i in range(1, width):
@@ -315,8 +374,8 @@ class Field:
             label[lo:hi] = now[:n]
             now[:n] = flat[column[lo:hi] + now[:n]]
         path = label[place]
-        for r, i in enumerate(order):
-            out[i] = path[start[r] : start[r] + size[r]]
+        for (i, lo, hi), a in zip(parts, start.tolist()):
+            out[i][lo:hi] = path[a : a + hi - lo]
         return out
 
 
